@@ -2,15 +2,38 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, simhash
+from quarry.llm import bpe, exact_dedup, langid, mixing, sharding, simhash
+
+VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    told = langid.predict(docs, langid.fit(docs), ["doc_id"])
+    return told.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), F.col("lang_pred_").alias("lang_pred"), F.col("score_").alias("score"), F.col("rejected_").alias("rejected"), F.col("entropy_").alias("bits_per_symbol"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(documents(spark, sf_dir))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select("doc_id", "source", "text")
+    return mixing.add_slots(rows.withColumn("text", F.xxhash64("text"))).select("doc_id", "source", F.col("stratum_").alias("stratum"), F.col("block_").alias("block"), F.col("slot_").alias("slot"), F.col("in_block_").alias("in_block"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(documents(spark, sf_dir))
 
@@ -26,9 +49,34 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op10_sql() -> str:
+    """The mix's slots; the schedule of one period is built slot by slot in a recursive query."""
+    parts = mixing.TARGETS
+    period = sum(parts.values())
+    rows = ", ".join(f"('{s}', {n})" for s, n in parts.items())
+    return f"""
+    WITH RECURSIVE parts(stratum, n) AS (VALUES {rows}),
+    named AS (SELECT array_agg(stratum ORDER BY stratum) AS names, array_agg(n ORDER BY stratum) AS ns FROM parts),
+    sim(slot, done, pick) AS (
+      SELECT -1, list_transform(ns, lambda x: 0), 0 FROM named
+      UNION ALL
+      SELECT slot + 1, list_transform(done, lambda x, i: CASE WHEN i = chosen THEN x + 1 ELSE x END), chosen
+      FROM (SELECT slot, done, list_min(list_filter(list_transform(range(1, len(ns) + 1), lambda i:
+              CASE WHEN done[i] < ns[i] AND done[i] * {period} // ns[i] <= slot + 1
+                   THEN ((done[i] + 1) * {period} + ns[i] - 1) // ns[i] * 1000 + i END), lambda v: v IS NOT NULL)) % 1000 AS chosen
+            FROM sim, named WHERE slot + 1 < {period})),
+    plan AS (SELECT names[pick] AS stratum, slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS turn FROM sim, named WHERE pick > 0),
+    ranked AS (SELECT doc_id, source, CASE WHEN source IN (SELECT stratum FROM parts WHERE stratum <> 'rest') THEN source ELSE 'rest' END AS stratum FROM documents),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('mix:' || doc_id)) - 1 AS r FROM ranked)
+    SELECT doc_id, source, stratum, r // {mixing.BLOCK_ROWS} + 1 AS block, (r // {mixing.BLOCK_ROWS}) // n * {period} + p.slot AS slot, r % {mixing.BLOCK_ROWS} AS in_block
+    FROM numbered JOIN parts USING (stratum) JOIN plan p USING (stratum)
+    WHERE p.turn = (r // {mixing.BLOCK_ROWS}) % n
+    """
+
+
 def queries() -> dict:
-    return {"op8_simhash": op8_simhash, "op9_exact_dedup": op9_exact_dedup}
+    return {"op1_langid": op1_langid, "op3_sharding": op3_sharding, "op4_bpe": op4_bpe, "op8_simhash": op8_simhash, "op9_exact_dedup": op9_exact_dedup, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op9_exact_dedup": OP9_SQL, "op10_mixing": op10_sql()}

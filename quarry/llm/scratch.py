@@ -24,6 +24,20 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of an Arrow batch, so that long texts don't fill a Python worker.
+
+    The setting is the session's and is read when a plan runs, so it stays set; a smaller one is left alone."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    with contextlib.suppress(ValueError):
+        if int(spark.conf.get(name)) <= BATCH_BYTES:
+            return
+    spark.conf.set(name, str(BATCH_BYTES))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder through Spark's own file system layer."""
     with contextlib.suppress(Exception):
