@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import components
-from quarry.llm.scratch import Scratch
+from quarry.llm.scratch import Scratch, small_batches
 
 BLOCKS, AGREE, MAX_BITS = (11, 11, 11, 11, 10, 10), 3, 3
 CHUNK = 96
@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             got = np.fromiter((fingerprint(x.as_py() or b"", words) for x in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view(np.int64))], ["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")
 
