@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup, langid, mixing, sharding, simhash
+from quarry.llm import bpe, exact_dedup, langid, licenses, mixing, secrets, sharding, simhash, topk
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -34,6 +34,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.add_slots(rows.withColumn("text", F.xxhash64("text"))).select("doc_id", "source", F.col("stratum_").alias("stratum"), F.col("block_").alias("block"), F.col("slot_").alias("slot"), F.col("in_block_").alias("in_block"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(documents(spark, sf_dir))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(documents(spark, sf_dir))
+
+
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(documents(spark, sf_dir))
 
@@ -49,6 +61,18 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10
+"""
+
+
 def op10_sql() -> str:
     """The mix's slots; the schedule of one period is built slot by slot in a recursive query."""
     parts = mixing.TARGETS
@@ -75,8 +99,8 @@ def op10_sql() -> str:
 
 
 def queries() -> dict:
-    return {"op1_langid": op1_langid, "op3_sharding": op3_sharding, "op4_bpe": op4_bpe, "op8_simhash": op8_simhash, "op9_exact_dedup": op9_exact_dedup, "op10_mixing": op10_mixing}
+    return {"op1_langid": op1_langid, "op3_sharding": op3_sharding, "op4_bpe": op4_bpe, "op5_secrets": op5_secrets, "op6_licenses": op6_licenses, "op7_top_k": op7_top_k, "op8_simhash": op8_simhash, "op9_exact_dedup": op9_exact_dedup, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL, "op10_mixing": op10_sql()}
+    return {"op7_top_k": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_mixing": op10_sql()}
