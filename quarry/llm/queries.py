@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup, langid, licenses, mixing, secrets, sharding, simhash, topk
+from quarry.llm import bpe, exact_dedup, langid, licenses, mixing, secrets, sharding, simhash, suffix_dedup, topk
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -21,6 +21,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), F.col("lang_pred_").alias("lang_pred"), F.col("score_").alias("score"), F.col("rejected_").alias("rejected"), F.col("entropy_").alias("bits_per_symbol"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removals(documents(spark, sf_dir))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(documents(spark, sf_dir))
 
@@ -99,7 +103,7 @@ def op10_sql() -> str:
 
 
 def queries() -> dict:
-    return {"op1_langid": op1_langid, "op3_sharding": op3_sharding, "op4_bpe": op4_bpe, "op5_secrets": op5_secrets, "op6_licenses": op6_licenses, "op7_top_k": op7_top_k, "op8_simhash": op8_simhash, "op9_exact_dedup": op9_exact_dedup, "op10_mixing": op10_mixing}
+    return {"op1_langid": op1_langid, "op2_suffix_dedup": op2_suffix_dedup, "op3_sharding": op3_sharding, "op4_bpe": op4_bpe, "op5_secrets": op5_secrets, "op6_licenses": op6_licenses, "op7_top_k": op7_top_k, "op8_simhash": op8_simhash, "op9_exact_dedup": op9_exact_dedup, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:

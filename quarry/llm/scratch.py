@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -38,6 +39,12 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set(name, str(BATCH_BYTES))
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are done with, which it does when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder through Spark's own file system layer."""
     with contextlib.suppress(Exception):
