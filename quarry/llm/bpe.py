@@ -4,7 +4,7 @@ A text is cut into pieces by the vocabulary's pattern. Within a piece, leaf i of
 the pair that starts at byte i (with i, so that the root is the leftmost pair of least rank). A merge takes the
 root's pair, joins it with the next live position and updates three leaves: the pair itself, the one before
 and the one that went; each is a path to the root, so a piece of n bytes takes O(n log n), however long.
-Pieces recur, so each Python worker keeps the last ones it met, up to a fixed number.
+Pieces recur, so each Python worker keeps those it met last, in two generations of a fixed size.
 
 Defined results: a null text counts as empty, an empty text has no ids; bytes that are not UTF-8 are read as
 U+FFFD; long texts are cut piece by piece, never as a whole list; other columns pass through or are ignored.
@@ -13,6 +13,7 @@ U+FFFD; long texts are cut piece by piece, never as a whole list; other columns
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from hashlib import sha256
 from itertools import islice
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.scratch import small_batches
 
-KEEP_PIECES = 200_000
+KEEP_PIECES = 300_000  # in each generation
 RUN = 1 << 16  # pieces of a long text that are held at once
 LONG = 1 << 19  # characters from which a text counts as long
 NONE = 1 << 62
@@ -91,15 +92,17 @@ class Pieces(dict):
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks, self.token = ranks, {n: a for a, n in ranks.items()}
+        self.ranks, self.token, self.old = ranks, {n: a for a, n in ranks.items()}, {}
 
     def __missing__(self, piece: str) -> tuple[int, str, bytes, bytes]:
-        if len(self) >= KEEP_PIECES:
-            self.clear()
-        ids = merge(piece.encode("utf-8", "replace"), self.ranks)
-        token = self.token
-        got = (len(ids), " ".join(map(str, ids)), b"".join(i.to_bytes(4, "little") for i in ids), b"".join([token[i] for i in ids]))
+        got = self.old.pop(piece, None)
+        if got is None:
+            ids, token = merge(piece.encode("utf-8", "replace"), self.ranks), self.token
+            got = (len(ids), " ".join(map(str, ids)), array("I", ids).tobytes(), b"".join([token[i] for i in ids]))
         if len(piece) < 64:
+            if len(self) >= KEEP_PIECES:
+                self.old = dict(self)
+                self.clear()
             self[piece] = got
         return got
 
