@@ -1,18 +1,449 @@
-"""Registered queries over the driver's tables (filled in by milestone)."""
+"""Registered queries: the engine over a catalogue of editions bound to the driver's tables, and DuckDB SQL for each.
+
+A part is a card, a line item an edition of it. The binding is written twice, as DataFrame expressions here and as SQL for the
+oracle, and the oracle's predicates are written by hand, so that the two sides share no code.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.operators import catalogs, scores, tags, telemetry, upsert
+from quarry.operators.search import Unique, browse, matching, one_each, random_sample, search, total_and_page
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def listed(*cases: tuple[Column, str]) -> Column:
+    """The texts whose conditions hold."""
+    return F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in cases]))
+
+
+def editions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a line item, with every column of the search language."""
+    p, li, s = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
+    rows = li.join(p, li["l_partkey"] == p["p_partkey"]).join(s, li["l_suppkey"] == s["s_suppkey"])
+    name, size, kind, key = F.col("p_name"), F.col("p_size"), F.col("p_type"), F.col("p_partkey")
+    creature = kind.isin("PROMO", "STANDARD", "ECONOMY")
+    said = lambda word: name.contains(word)
+    colors = F.when(said("red"), 2).otherwise(0) + F.when(said("blue"), 8).otherwise(0) + F.when(said("cold"), 16).otherwise(0) + F.when(said("old"), 4).otherwise(0) + F.when(said("new"), 1).otherwise(0)
+    red, blue, hybrid = F.when(said("red"), 2), F.when(said("blue"), 1), F.when(size % 6 == 0, 1)
+    counted = lambda pairs: F.map_from_entries(F.array_compact(F.array(*[F.when(n.isNotNull(), F.struct(F.lit(s), n)) for s, n in pairs])))
+    both = F.coalesce(red, F.lit(0)) + F.coalesce(hybrid, F.lit(0))
+    return rows.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("printing_id"),
+        key.alias("oracle_id"),
+        F.col("l_suppkey").alias("illustration_id"),
+        name.alias("card_name"),
+        F.lower(name).alias("card_name_folded"),
+        F.concat(F.lit("When "), name, F.lit(" enters, draw a "), F.lower(kind), F.lit(" card.")).alias("oracle_text"),
+        F.col("p_brand").alias("flavor_text"),
+        F.col("s_name").alias("card_artist"),
+        listed((kind == "PROMO", "Legendary"), (kind.isin("MEDIUM", "ECONOMY"), "Artifact"), (creature, "Creature"), (kind == "LARGE", "Enchantment"), (kind == "SMALL", "Instant")).alias("card_types"),
+        F.split(F.initcap(name), " ").alias("card_subtypes"),
+        listed((size % 2 == 0, "flying"), (size % 3 == 0, "haste"), (size % 5 == 0, "trample")).alias("card_keywords"),
+        listed((key % 7 == 0, "bounceland"), (key % 5 == 0, "modal")).alias("card_oracle_tags"),
+        listed((F.col("l_suppkey") % 6 == 0, "anime"), (F.col("l_suppkey") % 4 == 0, "external-ip")).alias("card_art_tags"),
+        listed((key % 11 == 0, "reserved")).alias("card_is_tags"),
+        listed((F.col("l_linenumber") % 3 == 0, "2015"), (F.col("l_linenumber") % 3 == 1, "2003"), (F.col("l_linenumber") % 3 == 2, "1997"), (F.col("l_linenumber") % 3 == 2, "Extendedart")).alias("card_frame_data"),
+        colors.alias("card_colors"),
+        F.when(size % 3 == 0, colors.bitwiseOR(F.lit(1))).otherwise(colors).alias("card_color_identity"),
+        F.when(size % 5 == 0, colors.bitwiseOR(F.lit(32))).otherwise(colors).alias("produced_mana"),
+        counted([("R", red), ("U", blue), ("R/G", hybrid)]).alias("mana_cost_jsonb"),
+        counted([("R", F.when(both > 0, both)), ("U", blue), ("G", hybrid)]).alias("devotion"),
+        (size % 9).alias("cmc"),
+        F.when(creature, size % 13).alias("creature_power"),
+        F.when(creature, key % 13).cast("int").alias("creature_toughness"),
+        F.when(creature, (size % 13).cast("string")).alias("creature_power_text"),
+        F.when(creature, (key % 13).cast("string")).alias("creature_toughness_text"),
+        F.when(kind == "LARGE", size % 7).alias("planeswalker_loyalty"),
+        F.concat(F.lit("{"), (size % 9).cast("string"), F.lit("}")).alias("mana_cost_text"),
+        key.cast("int").alias("edhrec_rank"),
+        F.lower(F.concat("l_returnflag", "l_linestatus")).alias("card_set_code"),
+        F.concat(F.lit("Set "), "l_returnflag").alias("set_name"),
+        F.concat(F.col("l_linenumber").cast("string"), F.when(F.col("l_suppkey") % 10 == 0, "a").otherwise("")).alias("collector_number"),
+        F.col("l_linenumber").alias("collector_number_int"),
+        (F.col("l_linenumber") % 6).alias("card_rarity_int"),
+        kind.alias("type_line"),
+        F.when(F.col("l_linestatus") == "O", "black").otherwise("white").alias("card_border"),
+        F.element_at(F.array(*map(F.lit, ("normal", "split", "transform", "modal_dfc"))), size % 4 + 1).alias("card_layout"),
+        F.when(F.col("l_returnflag") == "R", F.lower("p_brand")).alias("card_watermark"),
+        F.col("l_extendedprice").alias("price_usd"),
+        F.when(F.col("l_suppkey") % 4 != 0, F.col("l_extendedprice")).alias("price_eur"),
+        F.col("l_quantity").alias("price_tix"),
+        F.to_date("l_shipdate").alias("released_at"),
+        F.create_map(F.lit("legacy"), F.lit("legal"), F.lit("modern"), F.element_at(F.array(*map(F.lit, ("legal", "banned", "restricted", "not_legal"))), size % 4 + 1)).alias("card_legalities"),
+        F.col("l_quantity").alias("prefer_score"),
+        F.when(F.col("l_suppkey") % 3 != 0, "en").otherwise("de").alias("lang"),
+        F.when(F.col("l_suppkey") % 5 == 0, "memorabilia").otherwise("core").alias("set_type"),
+        listed((F.col("l_linenumber") % 2 == 0, "paper")).alias("games"),
+        listed((F.col("l_linenumber") % 2 == 1, "nonfoil"), (F.col("l_linenumber") % 4 == 0, "foil")).alias("finishes"),
+        F.when(F.col("l_linenumber") > 3, "highres_scan").otherwise("lowres").alias("image_status"),
+        listed((F.col("l_linenumber") == 7, "showcase"), (kind == "PROMO", "legendary")).alias("frame_effects"),
+        (900 + F.col("p_retailprice") % 97).alias("cubecobra_elo"),
+        F.when(key % 3 != 0, key % 101).cast("int").alias("cubecobra_cube_count"),
+        (size * 3).alias("cubecobra_pick_count"),
+        F.lit(None).cast("double").alias("cubecobra_score"),
+    )
+
+
+VIEW = """
+e AS (
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER)) AS printing_id,
+    p_partkey AS oracle_id, l_suppkey AS illustration_id, p_name, lower(p_name) AS folded, p_type, p_size, p_brand, s_name,
+    'when ' || lower(p_name) || ' enters, draw a ' || lower(p_type) || ' card.' AS text_lower,
+    CASE WHEN contains(p_name, 'red') THEN 2 ELSE 0 END + CASE WHEN contains(p_name, 'blue') THEN 8 ELSE 0 END + CASE WHEN contains(p_name, 'cold') THEN 16 ELSE 0 END
+      + CASE WHEN contains(p_name, 'old') THEN 4 ELSE 0 END + CASE WHEN contains(p_name, 'new') THEN 1 ELSE 0 END AS colors,
+    CASE WHEN contains(p_name, 'red') THEN 2 ELSE 0 END AS pip_r, CASE WHEN contains(p_name, 'blue') THEN 1 ELSE 0 END AS pip_u, CASE WHEN p_size % 6 = 0 THEN 1 ELSE 0 END AS pip_rg,
+    p_type IN ('PROMO', 'STANDARD', 'ECONOMY') AS creature, p_type IN ('MEDIUM', 'ECONOMY') AS artifact,
+    p_size % 9 AS cmc, CASE WHEN p_type IN ('PROMO', 'STANDARD', 'ECONOMY') THEN p_size % 13 END AS pow,
+    CASE WHEN p_type IN ('PROMO', 'STANDARD', 'ECONOMY') THEN CAST(p_partkey % 13 AS INTEGER) END AS tou,
+    CASE WHEN p_type = 'LARGE' THEN p_size % 7 END AS loy, lower(l_returnflag || l_linestatus) AS set_code,
+    l_linenumber || CASE WHEN l_suppkey % 10 = 0 THEN 'a' ELSE '' END AS cn, l_linenumber, l_linenumber % 6 AS rarity, l_suppkey, l_returnflag, l_linestatus,
+    CASE WHEN l_returnflag = 'R' THEN lower(p_brand) END AS watermark, l_extendedprice AS usd, CASE WHEN l_suppkey % 4 <> 0 THEN l_extendedprice END AS eur,
+    l_quantity AS tix, CAST(l_shipdate AS DATE) AS released, l_quantity AS prefer,
+    900 + p_retailprice % 97 AS elo, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % 101 END AS cubes, p_size * 3 AS picks
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)
+"""
+
+# name: (query, what it means in SQL over the view)
+FILTERS: dict[str, tuple[str, str]] = {
+    "f1_number": ("cmc<4", "cmc < 4"),
+    "f1_number_ops": ("pow>=5 tou!=3 usd>=1000.5 usd<=50000", "pow >= 5 AND tou <> 3 AND usd >= 1000.5 AND usd <= 50000"),
+    "f1_loyalty": ("loyalty:3 or loy>5", "loy = 3 OR loy > 5"),
+    "f1_prices": ("eur>20000 tix<10", "eur > 20000 AND tix < 10"),
+    "f1_signed": ("power>-1", "pow > -1"),
+    "f2_arith": ("power+toughness>8", "pow + tou > 8"),
+    "f2_two_sided": ("power*2-1<toughness+cmc", "pow * 2 - 1 < tou + cmc"),
+    "f2_divide": ("cmc/power>1", "CASE WHEN pow <> 0 THEN CAST(cmc AS DOUBLE) / pow END > 1"),
+    "f2_grouped": ("(power+1)*2>=toughness", "(pow + 1) * 2 >= tou"),
+    "f2_left_assoc": ("power+cmc*2>9", "(pow + cmc) * 2 > 9"),
+    "f4_rarity": ("r>=rare", "rarity >= 2"),
+    "f4_rarity_names": ("rarity:mythic or r=c", "rarity IN (3, 0)"),
+    "f5_name": ("bolt", "contains(folded, 'bolt')"),
+    "f5_name_folded": ('name:"RÉD b"', "contains(folded, 'red b')"),
+    "f5_name_hyphen": ("hot-gear or hot", "contains(folded, 'hot-gear') OR contains(folded, 'hot')"),
+    "f6_oracle": ('o:"draw a promo"', "contains(text_lower, 'draw a promo')"),
+    "f6_like_signs": ("o:\"100%\" or o:a_d", "contains(text_lower, '100%') OR contains(text_lower, 'a_d')"),
+    "f6_flavor": ("ft:brand#2", "contains(lower(p_brand), 'brand#2')"),
+    "f6_artist": ('a:"supplier#00000000"', "contains(lower(s_name), 'supplier#00000000')"),
+    "f7_exact": ('!"red bolt"', "lower(p_name) = 'red bolt'"),
+    "f7_exact_word": ("!Bolt", "lower(p_name) = 'bolt'"),
+    "f8_text_order": ('name>="old" artist!="Supplier#000000003"', "lower(p_name) >= 'old' AND lower(s_name) <> 'supplier#000000003'"),
+    "f9_regex": ("o:/draw a (promo|small)/", "regexp_matches(text_lower, 'draw a (promo|small)')"),
+    "f9_regex_anchored": ("name:/^RED .*t$/", "regexp_matches(lower(p_name), '^red .*t$')"),
+    "f9_regex_plain": ("o:/enters, draw/", "contains(text_lower, 'enters, draw')"),
+    "f10_set": ("s:AF or e=ro", "set_code IN ('af', 'ro')"),
+    "f10_set_order": ("set>nf", "set_code > 'nf'"),
+    "f10_labels": ("layout:SPLIT border:black", "p_size % 4 = 1 AND l_linestatus = 'O'"),
+    "f10_watermark": ("-wm:brand#1", "NOT (watermark = 'brand#1')"),
+    "f11_color": ("c:r", "colors & 2 = 2"),
+    "f11_color_ops": ("c=ub or c<rg or c>u", "colors = 12 OR (colors & ~3 = 0 AND colors <> 3) OR (colors & 8 = 8 AND colors <> 8)"),
+    "f11_color_at_most": ("color<=wub", "colors & ~28 = 0"),
+    "f11_color_not": ("c!=red", "colors <> 2"),
+    "f11_colorless": ("c:c", "colors = 0"),
+    "f11_colorless_name": ("-c>=colorless", "NOT (colors = 0)"),
+    "f12_identity": ("id:ubg", "(colors | CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END) & ~13 = 0"),
+    "f12_identity_more": ("id>=g", "(colors | CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END) & 1 = 1"),
+    "f13_produces": ("produces:c", "p_size % 5 = 0"),
+    "f13_produces_equal": ("produces=rc", "(colors | CASE WHEN p_size % 5 = 0 THEN 32 ELSE 0 END) = 34"),
+    "f14_type": ("t:creature -t:artifact", "creature AND NOT artifact"),
+    "f14_type_ops": ("t=creature or t>legendary or t<=instant", "p_type = 'STANDARD' OR p_type = 'PROMO' OR p_type = 'SMALL'"),
+    "f14_type_not": ("t!=artifact", "p_type <> 'MEDIUM'"),
+    "f14_subtype": ("t:widget", "contains(p_name, 'widget')"),
+    "f15_keyword": ("kw:Flying kw:haste", "p_size % 2 = 0 AND p_size % 3 = 0"),
+    "f15_keyword_ops": ("kw=flying or kw<flying", "(p_size % 2 = 0 AND p_size % 3 <> 0 AND p_size % 5 <> 0) OR (p_size % 2 <> 0 AND p_size % 3 <> 0 AND p_size % 5 <> 0)"),
+    "f15_keyword_at_most": ("kw<=trample", "p_size % 2 <> 0 AND p_size % 3 <> 0"),
+    "f16_tags": ("otag:bounceland -art:anime", "oracle_id % 7 = 0 AND NOT (l_suppkey % 6 = 0)"),
+    "f16_is": ("is:reserved", "oracle_id % 11 = 0"),
+    "f17_frame": ("frame:extendedart", "l_linenumber % 3 = 2"),
+    "f18_format": ("f:m", "p_size % 4 = 0"),
+    "f18_banned": ("banned:modern or restricted:m", "p_size % 4 IN (1, 2)"),
+    "f18_unknown_format": ("-f:nonsuch", "TRUE"),
+    "f18_not_legal": ("legal!=modern", "p_size % 4 <> 0"),
+    "f19_mana": ("m:{R}{R}", "pip_r >= 2 AND cmc >= 2"),
+    "f19_mana_bare": ("mana>=1u", "pip_u >= 1 AND cmc >= 2"),
+    "f19_mana_at_most": ("m<={4}{R}{R}", "pip_u = 0 AND pip_rg = 0 AND cmc <= 6"),
+    "f19_mana_equal": ("m={R/G}", "pip_r = 0 AND pip_u = 0 AND pip_rg = 1 AND cmc = 1"),
+    "f19_mana_not": ("m!={3}", "NOT (pip_r = 0 AND pip_u = 0 AND pip_rg = 0 AND cmc = 3)"),
+    "f20_devotion": ("devotion:rr", "pip_r + pip_rg >= 2"),
+    "f20_devotion_equal": ("devotion={R/G}", "pip_r + pip_rg = 1 AND pip_rg = 1 AND pip_u = 0"),
+    "f20_devotion_less": ("devotion<rrrgu", "pip_r + pip_rg <= 3 AND pip_rg <= 1 AND pip_u <= 1 AND NOT (pip_r + pip_rg = 3 AND pip_rg = 1 AND pip_u = 1)"),
+    "f21_date": ("date>=2000-04-04", "released >= DATE '2000-04-04'"),
+    "f21_date_year": ("date>1999 -date=2001", "released >= DATE '1999-01-01'"),
+    "f22_year": ("year:1998", "year(released) = 1998"),
+    "f22_year_ops": ("year>1996 year<=2000 year!=1999", "year(released) > 1996 AND year(released) <= 2000 AND year(released) <> 1999"),
+    "f23_number": ("cn<3", "l_linenumber < 3"),
+    "f23_number_text": ("cn:4a", "cn = '4a'"),
+    "b1_and": ("t:creature and cmc>3 bolt", "creature AND cmc > 3 AND contains(folded, 'bolt')"),
+    "b2_or": ("(t:instant c:r) or (bolt cmc:5)", "(p_type = 'SMALL' AND colors & 2 = 2) OR (contains(folded, 'bolt') AND cmc = 5)"),
+    "b3_not": ("-power>2", "NOT (pow > 2)"),
+    "b3_not_group": ("-(power>2 or eur<5000)", "NOT (pow > 2 OR eur < 5000)"),
+    "b4_everything": ("", "TRUE"),
+    "b5_one_witness": ("r:rare border:black usd<30000", "rarity = 2 AND l_linestatus = 'O' AND usd < 30000"),
+    "r1_derived": ("is:permanent", "p_type <> 'SMALL'"),
+    "r1_derived_nested": ("is:commander", "((p_type = 'PROMO' AND (tou >= 0 OR FALSE)) OR contains(text_lower, 'can be your commander'))"),
+    "r1_derived_frame": ("frame:new", "l_linenumber % 3 <> 2"),
+    "r1_derived_shape": ("is:bear", "creature AND pow = 2 AND tou = 2 AND cmc = 2"),
+}
+
+
+def filter_query(query: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Which cards match, by how many editions, and the range of their prices and numbers."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = matching(editions(spark, sf_dir), query)
+        return rows.groupBy("oracle_id").agg(F.count(F.lit(1)).alias("editions"), F.min("price_usd").alias("usd"), F.max("collector_number_int").alias("number"))
+
+    return run
+
+
+def filter_sql(where: str) -> str:
+    return f"WITH {VIEW} SELECT oracle_id, count(*) AS editions, min(usd) AS usd, max(l_linenumber) AS number FROM e WHERE {where} GROUP BY oracle_id"
+
+
+# name: (search parameters, SQL condition, group, preference, order)
+SEARCHES: dict[str, tuple[dict, str, str, str, str]] = {
+    "u1_card_usd_low": ({"query": "t:creature cmc<4", "prefer": "usd_low", "orderby": "usd"}, "creature AND cmc < 4", "oracle_id", "usd ASC NULLS LAST", "usd ASC NULLS LAST"),
+    "u1_card_default": ({"query": "bolt", "orderby": "name", "direction": "desc"}, "contains(folded, 'bolt')", "oracle_id", "prefer DESC NULLS LAST", "lower(p_name) DESC NULLS LAST"),
+    "u2_artwork": ({"query": "cmc:3", "unique": "artwork", "prefer": "newest", "orderby": "cmc", "limit": 50}, "cmc = 3", "oracle_id, illustration_id", "released DESC NULLS LAST", "cmc ASC NULLS LAST"),
+    "u3_printing": ({"query": "usd>90000", "unique": "printing", "orderby": "usd", "direction": "desc", "limit": 40}, "usd > 90000", "printing_id", "prefer DESC NULLS LAST", "usd DESC NULLS LAST"),
+    "u4_oldest": ({"query": "c:r", "prefer": "oldest", "orderby": "rarity"}, "colors & 2 = 2", "oracle_id", "released ASC NULLS LAST", "rarity ASC NULLS LAST"),
+    "u4_usd_high": ({"query": "c:u", "prefer": "usd_high", "orderby": "toughness", "direction": "desc"}, "colors & 8 = 8", "oracle_id", "usd DESC NULLS LAST", "tou DESC NULLS LAST"),
+    "u4_promo": ({"query": "id:g", "prefer": "promo", "orderby": "edhrec"}, "(colors | CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END) & ~1 = 0", "oracle_id", "oracle_id ASC NULLS LAST", "oracle_id ASC NULLS LAST"),
+    "o2_power_nulls_last": ({"query": "", "orderby": "power", "direction": "desc", "offset": 1300, "limit": 400}, "TRUE", "oracle_id", "prefer DESC NULLS LAST", "pow DESC NULLS LAST"),
+    "o4_offset_past_end": ({"query": "bolt", "offset": 1_000_000}, "contains(folded, 'bolt')", "oracle_id", "prefer DESC NULLS LAST", "oracle_id ASC"),
+    "o4_no_limit": ({"query": "t:instant", "limit": None}, "p_type = 'SMALL'", "oracle_id", "prefer DESC NULLS LAST", "oracle_id ASC"),
+}
+FIELDS = ("scryfall_id", "name", "set_code", "price_usd", "collector_number")
+
+
+def searched(params: dict) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return total_and_page(search(editions(spark, sf_dir), fields=FIELDS, **params))
+
+    return run
+
+
+def search_sql(params: dict, where: str, group: str, prefer: str, order: str) -> str:
+    limit = params.get("limit", 100)
+    page = f"LIMIT {'ALL' if limit is None else limit} OFFSET {params.get('offset', 0)}"
+    return f"""
+    WITH {VIEW},
+    m AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY {prefer}, prefer DESC NULLS LAST, printing_id) AS rn FROM e WHERE {where}),
+    k AS (SELECT * FROM m WHERE rn = 1)
+    SELECT * FROM (SELECT printing_id AS scryfall_id, p_name AS name, set_code, usd AS price_usd, cn AS collector_number, CAST(NULL AS BIGINT) AS total_cards_count
+                   FROM k ORDER BY {order}, oracle_id ASC NULLS LAST, printing_id {page})
+    UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, count(*) FROM k
+    """
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheap creatures named like a colour, each by its cheapest edition."""
+    return search(editions(spark, sf_dir), "t:creature cmc<4 (red or blue)", prefer="usd_low", orderby="usd", fields=FIELDS).page
+
+
+# catalogues, scores, joins and analytics
+
+
+def log_of(events: DataFrame) -> DataFrame:
+    """Events as a query log."""
+    return events.select(F.col("event_id").alias("id"), F.col("ts").alias("logged_at"), F.col("event_type").alias("q"), F.col("value").alias("total_ms"), F.get_json_object("props", "$.k").cast("int").alias("result_count"), (F.col("event_type") == "error").alias("had_error"))
+
+
+def tag_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hierarchy over parts: each part's parent is its number's half."""
+    return table(spark, sf_dir, "part").filter("p_partkey > 0").select(F.col("p_partkey").alias("child_tag"), F.expr("p_partkey div 2").alias("parent_tag"))
+
+
+def tag_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.filter("p_partkey < 200").select(
+        F.concat(F.lit("id"), "p_partkey").alias("id"),
+        F.concat(F.lit("tag"), "p_partkey").alias("slug"),
+        F.array(F.concat(F.lit("id"), F.expr("p_partkey div 3").cast("string")), F.lit("id-unknown")).alias("parent_ids"),
+        F.array(F.struct((F.col("p_partkey") * 2).cast("string").alias("oracle_id"), F.lit(None).cast("string").alias("illustration_id"))).alias("taggings"),
+    )
+
+
+def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of two years merged into all orders up to the second: prices of some change, some rows are new."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    old = orders.filter("o_orderkey % 3 <> 0")
+    new = orders.filter("o_orderkey % 2 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("o_totalprice"), F.lit("X").alias("o_orderpriority"))
+    return upsert.upsert(old, new, ["o_orderkey"], skip=("o_orderpriority",)).marked
+
+
+UPSERT_SQL = """
+WITH o AS (SELECT o_orderkey, o_totalprice, o_orderstatus, o_orderpriority FROM orders),
+a AS (SELECT * FROM o WHERE o_orderkey % 3 <> 0),
+b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM o WHERE o_orderkey % 2 = 0)
+SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, coalesce(b.o_totalprice, a.o_totalprice) AS o_totalprice, a.o_orderstatus,
+  CASE WHEN a.o_orderkey IS NULL THEN 'X' ELSE a.o_orderpriority END AS o_orderpriority,
+  CASE WHEN b.o_orderkey IS NULL THEN 'kept' WHEN a.o_orderkey IS NULL THEN 'inserted' WHEN a.o_totalprice = b.o_totalprice THEN 'unchanged' ELSE 'updated' END AS change_
+FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey
+"""
+COMPONENTS_SQL = f"""
+WITH {VIEW},
+n AS (SELECT illustration_id, p_name, count(*) AS printings FROM e WHERE l_suppkey % 3 <> 0 AND l_suppkey % 5 <> 0 GROUP BY ALL),
+s AS (SELECT printing_id, round(23 * ln(1 + coalesce(printings, 0)) / ln(40), 4)
+  + CASE rarity WHEN 0 THEN 16 WHEN 1 THEN 16 WHEN 2 THEN 11 ELSE 0 END + CASE WHEN l_linestatus = 'O' THEN 14 ELSE 0 END
+  + CASE l_linenumber % 3 WHEN 0 THEN 42 WHEN 1 THEN 30 ELSE 25 END + CASE WHEN l_linenumber % 3 = 2 THEN 12 ELSE 0 END
+  + CASE WHEN l_linenumber > 3 THEN 16 ELSE 0 END + CASE WHEN l_linenumber % 2 = 0 THEN 6 ELSE 0 END + CASE WHEN l_suppkey % 3 <> 0 THEN 40 ELSE 0 END
+  + CASE WHEN p_type = 'PROMO' THEN 5 ELSE 0 END + CASE WHEN l_linenumber = 7 THEN 0 ELSE 10 END
+  + CASE WHEN l_linenumber % 2 = 1 THEN 10 WHEN l_linenumber % 4 = 0 THEN 5 ELSE 0 END + 20
+  + CASE WHEN l_suppkey % 4 = 0 OR l_suppkey % 6 = 0 THEN 0 ELSE 14 END AS score
+  FROM e LEFT JOIN n USING (illustration_id, p_name))
+SELECT printing_id, round(score, 4) AS score FROM s
+"""
+
+
+def _catalog(make: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: make(editions(spark, sf_dir))
+
+
+def _agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").filter("p_partkey < 500")
+    left = p.select(F.col("p_partkey").alias("card_name"), F.col("p_partkey").alias("position"))
+    right = p.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("card_name"), (500 - F.col("p_partkey")).alias("position"))
+    return scores.position_agreement(left, right)
+
+
+def _synced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = editions(spark, sf_dir).withColumn("oracle_id", F.col("oracle_id").cast("string"))
+    synced, _ = tags.sync_tags(cards, tags.item_tags(tag_dump(spark, sf_dir), "oracle_id"), "oracle_id", "card_oracle_tags")
+    return synced.groupBy("oracle_id").agg(F.max(F.array_join("card_oracle_tags", ",")).alias("tags"), F.count(F.lit(1)).alias("editions"))
 
-def flagship(spark, sf_dir):
-    """Placeholder until the search compiler lands: the cheapest line of each part."""
-    from pyspark.sql import functions as F
 
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_partkey").agg(F.min("l_extendedprice").alias("usd"))
+ANALYTICS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "a1_count": (lambda s, d: matching(editions(s, d), "t:creature").agg(F.count(F.lit(1)).alias("n")), f"WITH {VIEW} SELECT count(*) AS n FROM e WHERE creature"),
+    "a2_types": (
+        _catalog(catalogs.type_counts),
+        f"""WITH {VIEW}, w AS (SELECT upper(x[1]) || x[2:] AS t FROM (SELECT unnest(string_split(p_name, ' ')) AS x FROM e)
+            UNION ALL SELECT unnest(list_filter([CASE WHEN p_type = 'PROMO' THEN 'Legendary' END, CASE WHEN artifact THEN 'Artifact' END, CASE WHEN creature THEN 'Creature' END,
+              CASE WHEN p_type = 'LARGE' THEN 'Enchantment' END, CASE WHEN p_type = 'SMALL' THEN 'Instant' END], lambda v: v IS NOT NULL)) FROM e)
+            SELECT t, count(*) AS n FROM w GROUP BY t""",
+    ),
+    "a3_keywords": (
+        _catalog(catalogs.keyword_counts),
+        f"""WITH {VIEW} SELECT k, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN p_size % 2 = 0 THEN 'flying' END, CASE WHEN p_size % 3 = 0 THEN 'haste' END,
+            CASE WHEN p_size % 5 = 0 THEN 'trample' END], lambda v: v IS NOT NULL)) AS k FROM e) GROUP BY k HAVING count(*) >= 5""",
+    ),
+    "a4_common_keywords": (
+        _catalog(catalogs.common_keywords),
+        f"""WITH {VIEW}, c AS (SELECT DISTINCT oracle_id, p_size FROM e) SELECT k, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN p_size % 2 = 0 THEN 'flying' END,
+            CASE WHEN p_size % 3 = 0 THEN 'haste' END, CASE WHEN p_size % 5 = 0 THEN 'trample' END], lambda v: v IS NOT NULL)) AS k FROM c) GROUP BY k""",
+    ),
+    "a4_common_types": (
+        _catalog(catalogs.common_types),
+        f"""WITH {VIEW}, c AS (SELECT DISTINCT oracle_id, p_name, p_type, creature, artifact FROM e),
+            w AS (SELECT upper(x[1]) || x[2:] AS t FROM (SELECT unnest(string_split(p_name, ' ')) AS x FROM c)
+            UNION ALL SELECT unnest(list_filter([CASE WHEN p_type = 'PROMO' THEN 'Legendary' END, CASE WHEN artifact THEN 'Artifact' END, CASE WHEN creature THEN 'Creature' END,
+              CASE WHEN p_type = 'LARGE' THEN 'Enchantment' END, CASE WHEN p_type = 'SMALL' THEN 'Instant' END], lambda v: v IS NOT NULL)) FROM c)
+            SELECT t, count(*) AS n FROM w GROUP BY t""",
+    ),
+    "a5_artworks": (_catalog(catalogs.artwork_counts), f"WITH {VIEW} SELECT illustration_id, p_name AS card_name, count(*) AS printings FROM e WHERE l_suppkey % 3 <> 0 AND l_suppkey % 5 <> 0 GROUP BY ALL"),
+    "a8_popularity": (
+        _catalog(lambda cards: scores.popularity(cards.withColumn("card_name", F.concat_ws("/", "card_name", "oracle_id"))).withColumn("cubecobra_score", F.round("cubecobra_score", 6))),
+        f"""WITH {VIEW}, c AS (SELECT DISTINCT p_name || '/' || oracle_id AS card_name, oracle_id, elo, cubes, picks FROM e)
+            SELECT card_name, round(25 * percent_rank() OVER (ORDER BY oracle_id NULLS LAST) + 25 * percent_rank() OVER (ORDER BY elo DESC NULLS LAST)
+              + 25 * percent_rank() OVER (ORDER BY cubes DESC NULLS LAST) + 25 * percent_rank() OVER (ORDER BY picks DESC NULLS LAST), 6) AS cubecobra_score FROM c""",
+    ),
+    "a11_statistics": (
+        lambda s, d: telemetry.statistics(log_of(table(s, d, "events")), "q").withColumn("avg_ms", F.round("avg_ms", 6)),
+        """SELECT event_type AS q, count(*) AS queries, 100 * avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END) AS success_pct,
+           round(avg(CASE WHEN event_type <> 'error' THEN value END), 6) AS avg_ms, min(CASE WHEN event_type <> 'error' THEN value END) AS min_ms,
+           max(CASE WHEN event_type <> 'error' THEN value END) AS max_ms, CAST(sum(CASE WHEN event_type <> 'error' THEN CAST(props->>'$.k' AS INTEGER) END) AS BIGINT) AS rows
+           FROM events GROUP BY event_type""",
+    ),
+    "a12_quantile": (_catalog(lambda cards: catalogs.quantile(cards, "price_usd", 0.9)), f"WITH {VIEW} SELECT quantile_cont(usd, 0.9) AS quantile FROM e"),
+    "a13_words": (
+        lambda s, d: catalogs.word_counts(table(s, d, "documents").filter("lang = 'en'"), "text", 4, 30, 200),
+        """SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}]{4,}'))) AS word FROM documents WHERE lang = 'en')
+           GROUP BY word HAVING count(*) >= 30 ORDER BY n DESC, word LIMIT 200""",
+    ),
+    "a14_agreement": (
+        _agreement,
+        """WITH p AS (SELECT p_partkey AS k FROM part WHERE p_partkey < 500), n AS (SELECT count(*) AS n FROM p)
+           SELECT avg(1 - abs(k - (500 - k)) / n) AS agreement FROM p, n WHERE k % 2 = 0""",
+    ),
+    "a15_completion": (
+        _catalog(lambda cards: catalogs.completion(catalogs.type_counts(cards), "B")),
+        f"""WITH {VIEW}, w AS (SELECT upper(x[1]) || x[2:] AS t FROM (SELECT unnest(string_split(p_name, ' ')) AS x FROM e))
+            SELECT t AS completion FROM w WHERE lower(t) LIKE 'b%' GROUP BY t ORDER BY count(*) DESC, t LIMIT 1""",
+    ),
+    "e6_upsert": (upserted, UPSERT_SQL),
+    "u6_last_of_each": (
+        lambda s, d: upsert.last_of_each(table(s, d, "events").select("user_id", "event_id", "value"), ["user_id"], F.col("event_id")),
+        "SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
+    ),
+    "e7_flag_tags": (
+        lambda s, d: upsert.sync_flag_tags(editions(s, d).withColumn("cheap", F.col("price_usd") < 20000), {"cheap": "cheap"}).groupBy(F.array_join("card_is_tags", ",").alias("tags")).agg(F.count(F.lit(1)).alias("n")),
+        f"WITH {VIEW} SELECT concat_ws(',', CASE WHEN usd < 20000 THEN 'cheap' END, CASE WHEN oracle_id % 11 = 0 THEN 'reserved' END) AS tags, count(*) AS n FROM e GROUP BY 1",
+    ),
+    "e8_tag_closure": (
+        lambda s, d: tags.item_tags(tag_dump(s, d), "oracle_id").select("oracle_id", F.array_join("tags", ",").alias("tags")),
+        """WITH RECURSIVE r(tag, reached) AS (SELECT p_partkey, p_partkey FROM part WHERE p_partkey < 200 UNION SELECT tag, reached // 3 FROM r WHERE reached > 0)
+           SELECT CAST(tag * 2 AS VARCHAR) AS oracle_id, string_agg('tag' || reached, ',' ORDER BY 'tag' || reached) AS tags FROM r GROUP BY tag""",
+    ),
+    "e10_cycles": (lambda s, d: tags.cycles(tag_edges(s, d).unionByName(s.sql("SELECT 0L AS child_tag, 5L AS parent_tag"))), "SELECT unnest([0, 1, 2, 5]) AS tag WHERE TRUE"),
+    "e11_add_tag": (
+        lambda s, d: upsert.add_tag(editions(s, d), editions(s, d).filter("cmc = 3"), "three").groupBy(F.array_join("card_is_tags", ",").alias("tags")).agg(F.count(F.lit(1)).alias("n")),
+        f"WITH {VIEW} SELECT concat_ws(',', CASE WHEN oracle_id % 11 = 0 THEN 'reserved' END, CASE WHEN cmc = 3 THEN 'three' END) AS tags, count(*) AS n FROM e GROUP BY 1",
+    ),
+    "e12_prefer_scores": (_catalog(lambda cards: scores.prefer_scores(cards).select("printing_id", F.round("prefer_score", 4).alias("score"))), COMPONENTS_SQL),
+    "e14_sample": (_catalog(lambda cards: random_sample(cards, 25, seed=7).agg(F.count_distinct("oracle_id").alias("n"))), "SELECT 25 AS n"),
+    "j6_synced_tags": (
+        _synced,
+        f"""WITH RECURSIVE r(tag, reached) AS (SELECT p_partkey, p_partkey FROM part WHERE p_partkey < 200 UNION SELECT tag, reached // 3 FROM r WHERE reached > 0),
+            t AS (SELECT tag * 2 AS oracle_id, string_agg('tag' || reached, ',' ORDER BY 'tag' || reached) AS tags FROM r GROUP BY tag), {VIEW}
+            SELECT CAST(e.oracle_id AS VARCHAR) AS oracle_id, coalesce(max(tags), '') AS tags, count(*) AS editions FROM e LEFT JOIN t ON e.oracle_id = t.oracle_id GROUP BY e.oracle_id""",
+    ),
+    "j7_leaves": (
+        lambda s, d: tags.leaves(table(s, d, "part").select(F.col("p_partkey").alias("tag")), tag_edges(s, d)),
+        "SELECT p_partkey AS tag FROM part WHERE p_partkey NOT IN (SELECT p_partkey // 2 FROM part WHERE p_partkey > 0)",
+    ),
+    "j7_roots": (lambda s, d: tags.roots(table(s, d, "part").select(F.col("p_partkey").alias("tag")), tag_edges(s, d)), "SELECT 0 AS tag"),
+    "j8_ancestors": (
+        lambda s, d: tags.walk_sql(tag_edges(s, d)),
+        """WITH RECURSIVE r(tag, reached) AS (SELECT p_partkey, p_partkey // 2 FROM part WHERE p_partkey > 0 UNION SELECT tag, reached // 2 FROM r WHERE reached > 0) SELECT tag, reached FROM r""",
+    ),
+    "j8_descendants": (
+        lambda s, d: tags.walk(tag_edges(s, d), up=False).groupBy("tag").agg(F.count(F.lit(1)).alias("below")),
+        """WITH RECURSIVE r(tag, reached) AS (SELECT p_partkey, p_partkey // 2 FROM part WHERE p_partkey > 0 UNION SELECT tag, reached // 2 FROM r WHERE reached > 0)
+           SELECT reached AS tag, count(*) AS below FROM r GROUP BY reached""",
+    ),
+    "o6_browse": (
+        _catalog(lambda cards: browse(cards, "old", "red", 60).select("card_name", "printing_id")),
+        f"WITH {VIEW} SELECT p_name AS card_name, printing_id FROM e WHERE p_name > 'old' AND p_name < 'red' ORDER BY p_name, printing_id LIMIT 60",
+    ),
+    "s5_ranking": (
+        lambda s, d: scores.with_ranking(editions(s, d), table(s, d, "part").filter("p_partkey % 4 = 0").select(F.col("p_partkey").alias("oracle_id"), F.lit(1.5).alias("elo"), F.lit(2).alias("cubeCount"), F.lit(3).alias("pickCount"))).groupBy("cubecobra_elo").agg(F.count(F.lit(1)).alias("n")),
+        f"WITH {VIEW} SELECT CASE WHEN oracle_id % 4 = 0 THEN 1.5 ELSE elo END AS cubecobra_elo, count(*) AS n FROM e GROUP BY 1",
+    ),
+    "x2_missing": (
+        lambda s, d: upsert.missing(table(s, d, "part").select(F.col("p_partkey").alias("oracle_id")), editions(s, d).filter("cmc > 1"), "oracle_id"),
+        f"WITH {VIEW} SELECT p_partkey AS oracle_id FROM part WHERE p_partkey NOT IN (SELECT oracle_id FROM e WHERE cmc > 1)",
+    ),
+    "u5_one_each_counts": (
+        _catalog(lambda cards: one_each(cards, Unique.ARTWORK, "default").groupBy("oracle_id").agg(F.count(F.lit(1)).alias("artworks"), F.sum("prefer_score").alias("score"))),
+        f"WITH {VIEW}, m AS (SELECT oracle_id, illustration_id, max(prefer) AS p FROM e GROUP BY ALL) SELECT oracle_id, count(*) AS artworks, sum(p) AS score FROM m GROUP BY oracle_id",
+    ),
+}
 
 
-def queries():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = {name: filter_query(query) for name, (query, _) in FILTERS.items()}
+    found |= {name: searched(params) for name, (params, *_) in SEARCHES.items()}
+    return found | {name: run for name, (run, _) in ANALYTICS.items()}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    found = {name: filter_sql(where) for name, (_, where) in FILTERS.items()}
+    found |= {name: search_sql(params, *rest) for name, (params, *rest) in SEARCHES.items()}
+    return found | {name: sql for name, (_, sql) in ANALYTICS.items() if sql}
