@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,10 +39,16 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set(name, str(BATCH_BYTES))
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are done with, which it does when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextlib.contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, Spark deletes an execution's shuffle files when it ends; for writes, whose plans never run again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -64,7 +70,8 @@ class Scratch:
         """Write df, read it back with the same schema."""
         self.n += 1
         at = f"{self.path}/{self.n:03d}-{name}"
-        df.write.parquet(at)
+        with shuffles_go(self.spark):
+            df.write.parquet(at)
         back = self.spark.read.schema(df.schema).parquet(at)
         back.scratch_path = at
         return back
