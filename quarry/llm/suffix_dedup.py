@@ -1,15 +1,16 @@
 """Suffix-array dedup: bytes covered by a 50-byte string that also starts in a document of smaller doc_id.
 
 Gathering. A 50-byte string holds 35 seeds of 16 bytes; the seed of least hash is content-defined, so equal strings meet
-at equal seeds. Each document yields its seeds (about one in 18 bytes) with the hash of the seed's context: all bytes
-that a 50-byte string around the seed can touch, 84 at most. Seeds are dealt out by hash, once. Where contexts are
+at equal seeds. Each document yields its seeds (about one in 18 bytes) with the hash of the seed's context: all strings
+that have it as their seed, 84 bytes at most. Seeds are dealt out by hash, once. Where contexts are
 equal, every occurrence in a later document than the first is wholly covered; that is settled within a task
 already where it can be, so a passage in a third of all documents costs a few rows a task. What is left are seeds
-with unlike contexts: the edges of shared passages and edits in near copies. The first document of each such
-context goes on, with its bytes.
+with unlike contexts: the edges of shared passages and edits in near copies. Equal strings
+around a seed agree on the 17 bytes before it or after it; contexts that do so with no other (by a byte of hash) are
+done with. The first document of each other context goes on, with its bytes.
 
 Suffix structure. Contexts of the same seeds are concatenated into blocks of bounded size. A block's suffixes are sorted
-by their first 64 symbols and its Burrows-Wheeler transform is taken. From the interval of the empty string, intervals
+by their first 56 symbols and its Burrows-Wheeler transform is taken. From the interval of the empty string, intervals
 are extended backward breadth-first; in round v, each new interval whose right boundary has no common-prefix value yet
 gives it the value v and lives on, and the others end. Values come in increasing order, and the expansion stops at the
 threshold: boundaries still without a value have a common prefix of 50 or more, so they bound groups of equal
@@ -44,18 +45,23 @@ GROUP = 2048  # unlike contexts of a seed that go into a block
 BLOCK = 1 << 19  # bytes of a block
 SPAN, CONTEXT, STRING = 0, 1, 2  # kinds of rows
 U = np.uint64
+PLACES = U(21)  # bits for a place within a segment; the rest of a seed's hash decides which is least
+HALF = SIDE // 2  # two equal strings around a seed agree on so many bytes before it or after it
 C1, C2, C3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = (x ^ (x >> U(32))) * C1
     x = (x ^ (x >> U(29))) * C2
     return x ^ (x >> U(32))
 
+
 def loads(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place of data as one number (all but the last seven places)."""
     return np.ndarray((max(0, len(data) - 7),), "<u8", data.tobytes(), 0, (1,))
 
+
 def sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     """pick over each window of `width`, by doubling."""
     span = 1
@@ -64,44 +70,51 @@ def sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
         span *= 2
     return pick(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
 
-def region_hash(words: np.ndarray, at: np.ndarray, size: np.ndarray, salt: np.uint64) -> np.ndarray:
-    """64-bit hashes of the `size` bytes from each place `at`; words: loads() of data padded by zeros."""
+
+def region_hash(words: np.ndarray, at: np.ndarray, size: np.ndarray | int, salt: np.uint64) -> np.ndarray:
+    """64-bit hashes of the `size` (8 or more) bytes from each place `at`, in words of which the last may lap over."""
+    size = np.broadcast_to(np.asarray(size, np.int64), at.shape)
     out = mix(size.astype(np.uint64) + salt)
-    for k in range(-(-int(size.max(initial=0)) // 8)):
-        left = size - 8 * k
-        word = words[np.minimum(at + 8 * k, len(words) - 1)]
-        keep = np.clip(left, 0, 8).astype(np.uint64)
-        word = np.where(keep >= U(8), word, word & ((U(1) << (keep * U(8) % U(64))) - U(1)))
-        out = np.where(left > 0, mix(out * C3 ^ word), out)
-    return out
+    for offset in range(0, int(size.max(initial=0)), 8):
+        out = (out ^ words[at + np.minimum(offset, size - 8)]) * C3
+        out ^= out >> U(29)
+    return mix(out)
+
 
 def seeds(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(seed hash, context hash, place) of a text's seeds, by segments. place packs position, bytes before and after."""
+    """(seed hash, context hash, place) of a text's seeds, by segments.
+
+    A string's seed is the leftmost of least hash; strings in a row with one seed make up its context. place packs the
+    seed's position, a byte of hash of the HALF bytes on either side (0 where the context has fewer), and the numbers of
+    the context's bytes before and after the seed."""
     n = len(text)
     for a in range(0, n - LENGTH + 1, SEGMENT):
         b = min(a + SEGMENT, n - LENGTH + 1)  # strings that start in [a, b)
-        lo, hi = max(0, a - SIDE), min(n, b + 2 * LENGTH)
-        data = np.frombuffer(text[lo:hi] + bytes(104), np.uint8)
-        words = loads(data)
-        first, last = a - lo, b - 1 + SIDE - lo  # seeds in these strings
-        h = mix(words[first : last + 1] * C1 ^ mix(words[first + 8 : last + 9]))
-        least = sliding(h, WINDOW, np.minimum)
-        edge = np.zeros(WINDOW - 1, np.uint64)
-        at = np.flatnonzero(h == sliding(np.concatenate((edge, least, edge)), WINDOW, np.maximum)) + first
-        pos = at + lo
-        before, after = np.minimum(pos, SIDE), np.minimum(n - pos - SEED, SIDE)
-        context = region_hash(words, at - before, before + SEED + after, C2) ^ mix(before.astype(np.uint64))
-        yield h[at - first], context, pos << 16 | before << 8 | after
+        data = np.frombuffer(text[a : b + LENGTH - 1] + bytes(8), np.uint8)
+        words, spots = loads(data), b - a + SIDE
+        h = mix(words[:spots] * C1 ^ mix(words[8 : spots + 8]))
+        least = sliding(h >> PLACES << PLACES | np.arange(spots, dtype=np.uint64), WINDOW, np.minimum)
+        best = (least & ((U(1) << PLACES) - U(1))).astype(np.int64)
+        start = np.flatnonzero(changes(best))
+        end = np.append(start[1:], len(best)) - 1 + LENGTH
+        at = best[start]
+        before, after = at - start, end - at - SEED
+        context = region_hash(words, start, end - start, C2) ^ mix(before.astype(np.uint64))
+        sides = [np.where(there >= HALF, region_hash(words, np.clip(from_, 0, len(data) - HALF - 8), HALF, C1) % U(255) + U(1), U(0)).astype(np.int64) for there, from_ in ((before, at - HALF), (after, at + SEED))]
+        yield h[at], context, (at + a) << 28 | sides[0] << 20 | sides[1] << 12 | before << 6 | after
+
 
 def region(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of packed places' contexts."""
-    pos = place >> 16
-    return pos - (place >> 8 & 255), pos + SEED + (place & 255)
+    pos = place >> 28
+    return pos - (place >> 6 & 63), pos + SEED + (place & 63)
+
 
 def strings(text: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128-bit hashes of the 50-byte strings at the starts."""
-    words, size = loads(np.frombuffer(text + bytes(64), np.uint8)), np.full(len(starts), LENGTH)
-    return region_hash(words, starts, size, C1), region_hash(words, starts, size, C3)
+    words = loads(np.frombuffer(text + bytes(64), np.uint8))
+    return region_hash(words, starts, LENGTH, C1), region_hash(words, starts, LENGTH, C3)
+
 
 def changes(*keys: np.ndarray) -> np.ndarray:
     """Which rows of sorted keys begin a group."""
@@ -110,6 +123,7 @@ def changes(*keys: np.ndarray) -> np.ndarray:
         new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
     return new
 
+
 def settle(key: np.ndarray, key2: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by keys and doc, and which rows of that order have an equal of smaller doc among them."""
     order = np.lexsort((doc, key2, key))
@@ -117,6 +131,7 @@ def settle(key: np.ndarray, key2: np.ndarray, doc: np.ndarray, place: np.ndarray
     low = doc[order][new][np.cumsum(new) - 1] if len(new) else doc
     return order, doc[order] > low
 
+
 def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of spans that overlap or touch."""
     if not len(lo):
@@ -127,19 +142,23 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = np.flatnonzero(new)
     return lo[first], hi[np.concatenate((first[1:], [len(lo)])) - 1]
 
+
 ROW = "kind int, key long, key2 long, doc long, place long, bytes binary"
 NAMES = ["kind", "key", "key2", "doc", "place", "bytes"]
 
+
 def rows(kind: int, key, key2, doc, place, data: list | None = None) -> pa.RecordBatch:
     """Rows of ROW; a span's place packs nothing: key2 is its start and place its end."""
     n = len(doc)
     signed = [np.ascontiguousarray(x).view(np.int64) for x in (key, key2, doc, place)]
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *map(pa.array, signed), pa.array(data, pa.binary()) if data else pa.nulls(n, pa.binary())], NAMES)
 
+
 def span_rows(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
     """Spans, dealt out by document."""
     return rows(SPAN, mix(doc.view(np.uint64)), lo, doc, hi)
 
+
 class Settler:
     """Collects keyed places of many documents, covers what has a smaller equal in the task, passes on the rest."""
 
@@ -171,6 +190,7 @@ class Settler:
             yield span_rows(d[at], start - shift[at], end - shift[at])
         yield rows(self.kind, key[left], key2[left], doc[left], place[left])
 
+
 def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Seeds of all documents (doc, text)."""
     own = Settler(CONTEXT)
@@ -180,9 +200,11 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from own.add(doc, key, key2, place)
     yield from own.flush()
 
+
 def columns(b: pa.RecordBatch) -> list[np.ndarray]:
     return [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
 
+
 def sort_out(batches: Iterator[pa.RecordBatch], group: int = GROUP) -> Iterator[pa.RecordBatch]:
     """Rows by seed, context and document -> spans, first contexts (CONTEXT), and those of crowded seeds (STRING)."""
     held = [np.zeros(0, np.int64)] * 5
@@ -208,8 +230,15 @@ def sort_out(batches: Iterator[pa.RecordBatch], group: int = GROUP) -> Iterator[
         if crowded is not None:
             many |= key[changes(key)] == crowded
         unlike = many | (contexts > 1) & (least < most)
+        first = doc == low
+        alike = many[seed]  # for the rest, contexts that agree with another on one side
+        for side in (place >> 20 & 255, place >> 12 & 255):
+            pair = seed * 256 + side
+            kinds, which = np.unique(pair[new], return_inverse=True)
+            shared = kinds[np.bincount(which) > 1]
+            alike |= (side > 0) & np.isin(pair, shared, assume_unique=False)
         for kind, which in ((CONTEXT, unlike & ~many), (STRING, many)):
-            at = which[seed] & (doc == low)
+            at = which[seed] & first & alike
             yield rows(kind, key[at], key2[at], doc[at], place[at])
 
     for b in batches:
@@ -231,6 +260,7 @@ def sort_out(batches: Iterator[pa.RecordBatch], group: int = GROUP) -> Iterator[
             held = [x[~later] for x in held]
     yield from told(held, True)
 
+
 def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, text, contexts, crowded) -> contexts with their bytes, and strings of crowded seeds."""
     own, out = Settler(STRING), []
@@ -249,18 +279,23 @@ def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield from own.add(doc, *strings(text, some), some)
     yield from own.flush()
 
+
 def suffix_order(symbols: np.ndarray, length: int) -> np.ndarray:
-    """The order of the circular suffixes by at least `length` symbols, by prefix doubling."""
-    rank, span, n = symbols.astype(np.int64), 1, len(symbols)
+    """The order of the circular suffixes by at least `length` symbols: by seven symbols at once, then by prefix doubling."""
+    n, span = len(symbols), 7
+    key = symbols.astype(np.int64)
+    for i in range(1, span):
+        key = key << 9 | np.roll(symbols, -i)
     while True:
-        key = rank * (int(rank.max()) + 1) + np.roll(rank, -span)
-        order = np.argsort(key, kind="stable")
-        span *= 2
+        order = np.argsort(key)
         new = changes(key[order])
         if span >= length or new.all():
             return order
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new) - 1
+        key = rank * n + np.roll(rank, -span)
+        span *= 2
+
 
 def equal_groups(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """Which places of the suffix order begin a group with fewer than `length` symbols in common with the one before.
@@ -269,20 +304,20 @@ def equal_groups(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndar
     n = len(symbols)
     bwt = symbols[order - 1]
     front = np.sort(bwt, kind="stable")
-    step = np.empty(n, np.int64)  # where the suffix one symbol longer stands
-    step[np.argsort(bwt, kind="stable")] = np.arange(n)
+    step = np.empty(n, np.int32)  # where the suffix one symbol longer stands
+    step[np.argsort(bwt, kind="stable")] = np.arange(n, dtype=np.int32)
     letter = np.concatenate(([True], front[1:] != front[:-1]))
     known = np.zeros(n + 1, bool)
     known[[0, n]] = True
-    at, owner = np.arange(n), np.zeros(n, np.int64)  # places in living intervals, ascending, and their intervals
+    at, owner = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)  # places in living intervals, ascending, and their intervals
     for _ in range(length):
         if not len(at):
             break
         to = step[at]
         if len(at) * 8 > n:
-            spread = np.full(n, -1, np.int64)
+            spread = np.full(n, -1, np.int32)
             spread[to] = owner
-            at = np.flatnonzero(spread >= 0)
+            at = np.flatnonzero(spread >= 0).astype(np.int32)
             owner = spread[at]
         else:
             by = np.argsort(to)
@@ -293,11 +328,12 @@ def equal_groups(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndar
         right = at[np.concatenate((first[1:], [len(at)])) - 1] + 1
         lives = ~known[right]
         known[right[lives]] = True
-        run = np.cumsum(new) - 1
+        run = np.cumsum(new, dtype=np.int32) - np.int32(1)
         keep = lives[run]
         at, owner = at[keep], run[keep]
     return known[:n]
 
+
 def block_spans(key: list[int], doc: list[int], place: list[int], data: list[bytes]) -> pa.RecordBatch:
     """Spans of a block's contexts that also start in a smaller document."""
     size = np.array([len(d) for d in data])
@@ -306,15 +342,19 @@ def block_spans(key: list[int], doc: list[int], place: list[int], data: list[byt
     symbols = np.frombuffer(b"\0".join(data) + b"\0", np.uint8).astype(np.int64) + 1
     symbols[start + size] = 0
     order = suffix_order(symbols, LENGTH)
-    new = equal_groups(symbols, order, LENGTH)
+    new = equal_groups(symbols.astype(np.uint16), order, LENGTH)
     docs = np.array(doc, np.int64)[owner]
     low = np.minimum.reduceat(docs[order], np.flatnonzero(new))[np.cumsum(new) - 1]
     least = np.empty(len(symbols), np.int64)
     least[order] = low
     offset = np.arange(len(symbols)) - start[owner]
     hit = np.flatnonzero((least < docs) & (offset + LENGTH <= size[owner]))
+    # runs of starts within a context become one span
+    first = np.flatnonzero(np.diff(hit, prepend=-2) > 1)
+    last = np.append(first[1:], len(hit)) - 1
     lo = region(np.array(place, np.int64))[0][owner[hit]] + offset[hit]
-    return span_rows(docs[hit], lo, lo + LENGTH)
+    return span_rows(docs[hit][first], lo[first], lo[last] + LENGTH)
+
 
 def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows by kind, key, key2 and document -> spans."""
@@ -346,6 +386,7 @@ def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if data:
         yield block_spans(key, doc, place, data)
 
+
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, spans) -> what is left of each document."""
     for b in batches:
@@ -364,12 +405,12 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[i] for o in out], k) for i, k in enumerate(kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
+
 def repeats(docs: DataFrame, scratch: Scratch, group: int = GROUP) -> DataFrame:
     """doc, lo, hi: spans of bytes whose strings also start in a smaller document (they may overlap)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("binary").alias("text")).filter("doc IS NOT NULL AND octet_length(text) >= 50")
     found = texts.mapInArrow(gather, ROW).drop("bytes").repartition("key").sortWithinPartitions("key", "key2", "doc")
     sorted_out = scratch.put(found.mapInArrow(lambda batches: sort_out(batches, group), ROW).drop("bytes"), "sorted")
-
     asked = sorted_out.filter(f"kind <> {SPAN}").groupBy("doc").agg(
         F.collect_list(F.when(F.col("kind") == CONTEXT, F.struct("key", "place"))).alias("contexts"), F.collect_list(F.when(F.col("kind") == STRING, F.col("place"))).alias("crowded")
     )
@@ -377,9 +418,9 @@ def repeats(docs: DataFrame, scratch: Scratch, group: int = GROUP) -> DataFrame:
     decided = fetched.repartition("key").sortWithinPartitions("kind", "key", "key2", "doc").mapInArrow(decide, ROW)
     span = "doc", F.col("key2").alias("lo"), F.col("place").alias("hi")
     late = scratch.put(decided.select(*span), "late")
-
     return sorted_out.filter(f"kind = {SPAN}").select(*span).unionByName(late)
 
+
 def removals(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
     small_batches(docs.sparkSession)
