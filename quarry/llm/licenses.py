@@ -41,9 +41,9 @@ TEMPLATES = [
 
 
 def words(text: Column) -> Column:
-    """Words of a text as an array."""
-    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    """Words of a text as an array. lower() also lowers letters beyond A-Z; these stay letters beyond ASCII (but for the
+    Kelvin sign, which becomes a k), so neither the number of words nor the places of base phrases change."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
 def grams(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -65,9 +65,11 @@ def spans(rows: DataFrame, keep: list[str]) -> DataFrame:
     """Verified spans: keep, template, label, first and last word, coverage. rows: keep (null-safe keys) and words."""
     hits = grams(rows, keep)
     marks = template_grams(rows)
-    same = hits["gram"] == marks["tgram"]
+    words_equal = F.lit(True)
     for i in range(K):
-        same &= hits[f"w{i}"] == marks[f"t{i}"]
+        words_equal &= hits[f"w{i}"] == marks[f"t{i}"]
+    # in a WHEN, so that the join's key is the one long and not the words too
+    same = (hits["gram"] == marks["tgram"]) & F.when(words_equal, True).otherwise(False)
     met = hits.join(F.broadcast(marks), same).select(*keep, "template", "label", "size", "pos", "tpos", (F.col("pos") - F.col("tpos")).alias("diagonal"))
     by = [*keep, "template", "label", "size"]
     voted = met.groupBy(*by, "diagonal").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("tpos").alias("votes"))
