@@ -130,7 +130,7 @@ FILTERS: dict[str, tuple[str, str]] = {
     "f5_name_hyphen": ("hot-gear or hot", "contains(folded, 'hot-gear') OR contains(folded, 'hot')"),
     "f6_oracle": ('o:"draw a promo"', "contains(text_lower, 'draw a promo')"),
     "f6_like_signs": ("o:\"100%\" or o:a_d", "contains(text_lower, '100%') OR contains(text_lower, 'a_d')"),
-    "f6_flavor": ("ft:brand#2", "contains(lower(p_brand), 'brand#2')"),
+    "f6_flavor": ("ft:\"brand#2\"", "contains(lower(p_brand), 'brand#2')"),
     "f6_artist": ('a:"supplier#00000000"', "contains(lower(s_name), 'supplier#00000000')"),
     "f7_exact": ('!"red bolt"', "lower(p_name) = 'red bolt'"),
     "f7_exact_word": ("!Bolt", "lower(p_name) = 'bolt'"),
@@ -141,7 +141,7 @@ FILTERS: dict[str, tuple[str, str]] = {
     "f10_set": ("s:AF or e=ro", "set_code IN ('af', 'ro')"),
     "f10_set_order": ("set>nf", "set_code > 'nf'"),
     "f10_labels": ("layout:SPLIT border:black", "p_size % 4 = 1 AND l_linestatus = 'O'"),
-    "f10_watermark": ("-wm:brand#1", "NOT (watermark = 'brand#1')"),
+    "f10_watermark": ("-wm:\"Brand#1\"", "NOT (watermark = 'brand#1')"),
     "f11_color": ("c:r", "colors & 2 = 2"),
     "f11_color_ops": ("c=ub or c<rg or c>u", "colors = 12 OR (colors & ~3 = 0 AND colors <> 3) OR (colors & 8 = 8 AND colors <> 8)"),
     "f11_color_at_most": ("color<=wub", "colors & ~28 = 0"),
