@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.lineage import cut_lineage
+
 DEPTH = 100  # levels of a hierarchy at most
 
 
@@ -16,14 +18,18 @@ def edges(dump: DataFrame) -> DataFrame:
 
 
 def walk(edge: DataFrame, up: bool = True, depth: int = DEPTH) -> DataFrame:
-    """tag, reached: every tag with all its ancestors (or descendants), by a recursive query; cycles end as nothing new is found.
+    """tag, reached: every tag with all its ancestors (or descendants). Cycles end as nothing new is found.
 
-    Rounds double the distance covered: pairs are joined with themselves, so depth 100 takes seven."""
+    A round joins what is found with itself and so doubles the distance covered; its lineage is cut, so plans stay small."""
     a, b = ("child_tag", "parent_tag") if up else ("parent_tag", "child_tag")
-    found, span = edge.select(F.col(a).alias("tag"), F.col(b).alias("reached")).distinct(), 1
+    found, span = cut_lineage(edge.select(F.col(a).alias("tag"), F.col(b).alias("reached")).distinct()), 1
+    size = found.count()
     while span < depth:
         further = found.alias("x").join(found.alias("y"), F.col("x.reached") == F.col("y.tag")).select(F.col("x.tag").alias("tag"), F.col("y.reached").alias("reached"))
-        found, span = found.unionByName(further).distinct(), span * 2
+        found, span, before = cut_lineage(found.unionByName(further).distinct()), span * 2, size
+        size = found.count()
+        if size == before:
+            break
     return found
 
 

@@ -115,14 +115,18 @@ class Compiler:
             want = mask(plain_text(right).strip(), field.column == "produced_mana")
         except ValueError as e:
             raise QueryError(str(e)) from e
-        have = F.coalesce(self.bind(field.column), F.lit(0))
+        column = self.bind(field.column)
         if op == ":":
             op = "<=" if field.column == "card_color_identity" else ">="
+        # a missing mask is an empty one; written so that Parquet statistics can use it where there are few masks
+        empty = column.isNull()
         if op in ("=", "!=") or op == ">=" and not want:
-            return COMPARE["!=" if op == "!=" else "="](have, F.lit(want))
+            same = column.eqNullSafe(want) if want else empty | (column == 0)
+            return ~same if op == "!=" else same
         if op in ("<", "<="):
-            # few enough masks to be named, which Parquet statistics can use
-            return have.isin([m for m in range(64) if not m & ~want and (op == "<=" or m != want)])
+            within = [m for m in range(64) if not m & ~want and (op == "<=" or m != want)]
+            return column.isin(within) | empty if 0 in within else F.lit(False)
+        have = F.coalesce(column, F.lit(0))
         holds = have.bitwiseAND(F.lit(want)) == want
         return holds if op == ">=" else holds & (have != want)
 

@@ -41,16 +41,15 @@ class CoverageError(ValueError):
 def read_dump(spark: SparkSession, path: str, dump: str = Dump.DEFAULT_CARDS, schema: str | None = None, coverage: float = 0.99, multiline: bool = False) -> DataFrame:
     """Rows of a dump with a declared schema. Bad lines are left out; if more than 1 - coverage are bad, CoverageError.
 
-    Compressed files are read by their suffix. A file with one object over many lines, or one array, needs multiline."""
+    Compressed files are read by their suffix. Files that hold one object over many lines need multiline."""
     columns = schema or SCHEMAS.get(Dump(dump), CARD_SCHEMA)
-    rows = spark.read.schema(f"{columns}, {CORRUPT} STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", multiline).json(path)
+    lines = spark.read.text(path, wholetext=multiline).filter(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", f"{columns}, {CORRUPT} STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("row")).select("row.*")
     if coverage > 0:
-        # a query of the corrupt column alone is not allowed on raw files, so the count reads a key as well
-        key = columns.split()[0]
-        total, bad = rows.select(key, CORRUPT).agg(F.count(F.lit(1)), F.count(CORRUPT)).first()
+        total, bad = parsed.agg(F.count(F.lit(1)), F.count(CORRUPT)).first()
         if bad > (1 - coverage) * total:
             raise CoverageError(f"{bad} of {total} lines of {path} can't be read")
-    return rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return parsed.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
 def dump_path(root: str, dump: str) -> str:
