@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup, langid, licenses, mixing, secrets, sharding, simhash, suffix_dedup, topk
+from quarry.llm import bpe, exact_dedup, langid, licenses, mixing, oracles, secrets, sharding, simhash, suffix_dedup, topk
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -58,53 +58,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(documents(spark, sf_dir))
 
 
-OP9_SQL = """
-SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
-       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
-FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
-"""
-
-
-OP7_SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10
-"""
-
-
-def op10_sql() -> str:
-    """The mix's slots; the schedule of one period is built slot by slot in a recursive query."""
-    parts = mixing.TARGETS
-    period = sum(parts.values())
-    rows = ", ".join(f"('{s}', {n})" for s, n in parts.items())
-    return f"""
-    WITH RECURSIVE parts(stratum, n) AS (VALUES {rows}),
-    named AS (SELECT array_agg(stratum ORDER BY stratum) AS names, array_agg(n ORDER BY stratum) AS ns FROM parts),
-    sim(slot, done, pick) AS (
-      SELECT -1, list_transform(ns, lambda x: 0), 0 FROM named
-      UNION ALL
-      SELECT slot + 1, list_transform(done, lambda x, i: CASE WHEN i = chosen THEN x + 1 ELSE x END), chosen
-      FROM (SELECT slot, done, list_min(list_filter(list_transform(range(1, len(ns) + 1), lambda i:
-              CASE WHEN done[i] < ns[i] AND done[i] * {period} // ns[i] <= slot + 1
-                   THEN ((done[i] + 1) * {period} + ns[i] - 1) // ns[i] * 1000 + i END), lambda v: v IS NOT NULL)) % 1000 AS chosen
-            FROM sim, named WHERE slot + 1 < {period})),
-    plan AS (SELECT names[pick] AS stratum, slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS turn FROM sim, named WHERE pick > 0),
-    ranked AS (SELECT doc_id, source, CASE WHEN source IN (SELECT stratum FROM parts WHERE stratum <> 'rest') THEN source ELSE 'rest' END AS stratum FROM documents),
-    numbered AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('mix:' || doc_id)) - 1 AS r FROM ranked)
-    SELECT doc_id, source, stratum, r // {mixing.BLOCK_ROWS} + 1 AS block, (r // {mixing.BLOCK_ROWS}) // n * {period} + p.slot AS slot, r % {mixing.BLOCK_ROWS} AS in_block
-    FROM numbered JOIN parts USING (stratum) JOIN plan p USING (stratum)
-    WHERE p.turn = (r // {mixing.BLOCK_ROWS}) % n
-    """
-
-
 def queries() -> dict:
     return {"op1_langid": op1_langid, "op2_suffix_dedup": op2_suffix_dedup, "op3_sharding": op3_sharding, "op4_bpe": op4_bpe, "op5_secrets": op5_secrets, "op6_licenses": op6_licenses, "op7_top_k": op7_top_k, "op8_simhash": op8_simhash, "op9_exact_dedup": op9_exact_dedup, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_top_k": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_mixing": op10_sql()}
+    return oracles.all_sql()
