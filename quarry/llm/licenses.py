@@ -48,7 +48,8 @@ def words(text: Column) -> Column:
 
 def grams(rows: DataFrame, keep: list[str]) -> DataFrame:
     """keep, position and words w0.. of each rolling K-gram of the column `words`, with its hash; one generated loop, nothing is copied."""
-    at = rows.select(*keep, "words", F.posexplode("words").alias("pos", "w0"))
+    # an inner explode would make the optimizer test the array's size in a filter below, and so extract all words twice
+    at = rows.select(*keep, "words", F.posexplode_outer("words").alias("pos", "w0"))
     parts = [F.col("w0"), *[F.get("words", F.col("pos") + i) for i in range(1, K)]]
     return at.filter(F.col("pos") + K <= F.size("words")).select(*keep, "pos", F.xxhash64(*parts).alias("gram"), *[p.alias(f"w{i}") for i, p in enumerate(parts)])
 
