@@ -99,6 +99,56 @@ def op6() -> str:
     """
 
 
+def op8(max_bits: int = 3) -> str:
+    """XXH64 in 128-bit arithmetic over byte lists, majority bits by sums, classes by a recursive closure over distinct fingerprints."""
+    m = "18446744073709551616"
+    p1, p2, p3, p4, p5, seed = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 42
+    u = lambda x: f"CAST({x} AS UHUGEINT)"
+    mul = lambda a, p: f"(({a}) * {u(p)} % {u(m)})"
+    rotl = lambda x, r: f"(({x}) * {u(1 << r)} % {u(m)} + ({x}) // {u(1 << (64 - r))})"
+    step = lambda acc, lane: mul(rotl(f"({acc} + {mul(lane, p2)}) % {u(m)}", 31), p1)
+    lane = lambda at, n: "(" + " + ".join(f"b[{at} + {j}] * {u(1 << (8 * (j - 1)))}" for j in range(1, n + 1)) + ")"
+    shift = lambda x, r: f"xor({x}, ({x}) // {u(1 << r)})"
+
+    def fold(first: str, items: str, body: str) -> str:
+        return f"list_reduce(list_prepend({first}, {items}), lambda a, x: {body})"
+
+    def stripe(i: int, start: int) -> str:
+        return fold(u(start % (1 << 64)), f"list_transform(range(0, n // 32 * 32, 32), lambda k: {lane(f'k + {8 * i}', 8)})", step("a", "x"))
+
+    joined = "(" + " + ".join(rotl(f"v{i}", r) for i, r in enumerate((1, 7, 12, 18))) + f") % {u(m)}"
+    for i in range(4):
+        joined = f"({mul(f'xor({joined}, {step(u(0), f"v{i}")})', p1)} + {u(p4)}) % {u(m)}"
+    rounds = [
+        ("h0", f"(CASE WHEN n >= 32 THEN {joined} ELSE {u(seed + p5)} END + {u('n')}) % {u(m)}"),
+        ("h1", fold("h0", f"list_transform(range(n // 32 * 32, n // 8 * 8, 8), lambda k: {lane('k', 8)})", f"({mul(rotl(f'xor(a, {step(u(0), "x")})', 27), p1)} + {u(p4)}) % {u(m)}")),
+        ("h2", f"CASE WHEN n % 8 >= 4 THEN ({mul(rotl(f'xor(h1, {mul(lane("n // 8 * 8", 4), p1)})', 23), p2)} + {u(p3)}) % {u(m)} ELSE h1 END"),
+        ("h3", fold("h2", "b[n // 4 * 4 + 1:]", mul(rotl(f"xor(a, {mul('x', p5)})", 11), p1))),
+        ("h4", mul(shift("h3", 33), p2)),
+        ("h5", mul(shift("h4", 29), p3)),
+        ("h", shift("h5", 32)),
+    ]
+    ctes, last = "", "stripes"
+    for name, body in rounds:
+        ctes += f", r_{name} AS (SELECT *, {body} AS {name} FROM {last})"
+        last = f"r_{name}"
+    bits = " + ".join(f"CASE WHEN 2 * sum(k * CAST(h // {u(1 << i)} % 2 AS BIGINT)) > sum(k) THEN {u(1 << i)} ELSE 0 END" for i in range(64))
+    return f"""
+    WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+    s AS (SELECT doc_id, unnest(CASE WHEN len(w) BETWEEN 1 AND 2 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) END) AS s FROM d),
+    c AS (SELECT doc_id, s, count(*) AS k FROM s GROUP BY ALL),
+    texts AS (SELECT s, strlen(s) AS n, list_transform(string_split(regexp_replace(hex(encode(s)), '(..)', '\\1 ', 'g'), ' ')[:-2], lambda h: CAST(CAST('0x' || h AS BIGINT) AS UHUGEINT)) AS b FROM (SELECT DISTINCT s FROM c)),
+    stripes AS (SELECT *, {stripe(0, seed + p1 + p2)} AS v0, {stripe(1, seed + p2)} AS v1, {stripe(2, seed)} AS v2, {stripe(3, seed - p1)} AS v3 FROM texts){ctes},
+    made AS (SELECT doc_id, {bits} AS fp FROM c JOIN {last} USING (s) GROUP BY doc_id),
+    prints AS (SELECT doc_id, coalesce(fp, 0) AS fp FROM d LEFT JOIN made USING (doc_id)),
+    reps AS (SELECT fp, min(doc_id) AS rep FROM prints GROUP BY fp),
+    links AS (SELECT a.fp AS x, b.fp AS y FROM reps a JOIN reps b ON a.fp <> b.fp AND bit_count(CAST(xor(a.fp, b.fp) AS HUGEINT)) <= {max_bits}),
+    reach(x, y) AS (SELECT fp, fp FROM reps UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+    classes AS (SELECT x AS fp, min(rep) AS component_id FROM reach JOIN reps ON y = fp GROUP BY x)
+    SELECT doc_id, lpad(lower(hex(CAST(fp AS UBIGINT))), 16, '0') AS fingerprint, component_id FROM prints JOIN classes USING (fp)
+    """
+
+
 OP7 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
@@ -142,4 +192,4 @@ def op10() -> str:
 
 def all_sql() -> dict[str, str]:
     """By the queries' names."""
-    return {"op2_suffix_dedup": OP2, "op3_sharding": op3(), "op5_secrets": op5(), "op6_licenses": op6(), "op7_top_k": OP7, "op9_exact_dedup": OP9, "op10_mixing": op10()}
+    return {"op2_suffix_dedup": OP2, "op3_sharding": op3(), "op5_secrets": op5(), "op6_licenses": op6(), "op7_top_k": OP7, "op8_simhash": op8(), "op9_exact_dedup": OP9, "op10_mixing": op10()}
