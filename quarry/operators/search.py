@@ -112,16 +112,24 @@ def parsed(query: str):
     return read(query)
 
 
-def matching(cards: DataFrame, query: str) -> DataFrame:
-    """The editions that a query matches."""
-    return cards.filter(compile_tree(parsed(query)))
+def matching(cards: DataFrame, query: str, gaps: bool = False) -> DataFrame:
+    """The editions that a query matches. gaps: words of a text value may stand apart, in their order."""
+    return cards.filter(compile_tree(parsed(query), gaps=gaps))
 
 
-def one_each(rows: DataFrame, unique: Unique, prefer: Prefer) -> DataFrame:
-    """One edition of each group: the preferred one. The first row of a group is cut on the map side, so a hot group costs a row a task."""
+def one_each(rows: DataFrame, unique: Unique, prefer: Prefer, hashed: bool = False) -> DataFrame:
+    """One edition of each group: the preferred one. The first row of a group is cut on the map side, so a hot group costs a row a task.
+
+    hashed: by an aggregation instead of a window, which gives the same rows."""
     if unique is Unique.PRINTING:
         return rows
     column, direction = PREFERENCES[prefer]
+    if hashed:
+        # the same order as one comparable struct: false sorts before true, so nulls come last
+        value = F.unix_date(column) if column == "released_at" else F.col(column).cast("double")
+        signed = value if direction is Direction.ASC else -value
+        best = F.struct(value.isNull(), signed, F.col("prefer_score").isNull(), -F.col("prefer_score"), F.col("printing_id"))
+        return rows.groupBy(*GROUPS[unique]).agg(F.min_by(F.struct(*rows.columns), best).alias("row_")).select("row_.*")
     order = [nulls_last(F.col(column), direction), F.col("prefer_score").desc_nulls_last(), F.col("printing_id")]
     return rows.withColumn("pick_", F.row_number().over(Window.partitionBy(*GROUPS[unique]).orderBy(*order))).filter("pick_ = 1").drop("pick_")
 

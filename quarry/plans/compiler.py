@@ -29,14 +29,16 @@ STATUS = {"banned": "banned", "restricted": "restricted"}
 SHARED_TYPE = "Battle"  # filed by no type list; looked up in types and subtypes
 
 
-def compile_tree(node: Node, bind: Bind | Mapping[str, Column] | None = None) -> Column:
-    """The predicate of a tree. bind gives a column of the language its Column (by default the one of that name)."""
-    return Compiler(F.col if bind is None else bind if callable(bind) else bind.__getitem__).predicate(node)
+def compile_tree(node: Node, bind: Bind | Mapping[str, Column] | None = None, gaps: bool = False) -> Column:
+    """The predicate of a tree. bind gives a column of the language its Column (by default the one of that name).
+
+    gaps: the words of a text value may stand apart in the text, in their order; else they stand as they are written."""
+    return Compiler(F.col if bind is None else bind if callable(bind) else bind.__getitem__, gaps).predicate(node)
 
 
 class Compiler:
-    def __init__(self, bind: Bind):
-        self.bind = bind
+    def __init__(self, bind: Bind, gaps: bool = False):
+        self.bind, self.gaps = bind, gaps
 
     def predicate(self, node: Node) -> Column:
         match node:
@@ -81,8 +83,14 @@ class Compiler:
         if op != ":":
             return COMPARE[op](F.lower(column), F.lit(value))
         if field.column == "card_name":
-            return F.contains(self.bind("card_name_folded"), F.lit(fold_accents(value)))
-        return F.contains(F.lower(column), F.lit(value))
+            return self.holds(self.bind("card_name_folded"), fold_accents(value))
+        return self.holds(F.lower(column), value)
+
+    def holds(self, column: Column, value: str) -> Column:
+        words = value.split()
+        if not self.gaps or len(words) < 2:
+            return F.contains(column, F.lit(value))
+        return column.like("%" + "%".join(re.sub(r"([\\%_])", r"\\\1", w) for w in words) + "%")
 
     def regex(self, column: Column, pattern: str) -> Column:
         try:

@@ -1,51 +1,22 @@
-"""A paged listing as a Spark data source: pages are JSON files named page-1.json, page-2.json, ... with `data` and `next_page`.
-
-    spark.dataSource.register(PagedSource)
-    spark.read.format("paged").option("path", folder).load()
-
-The pages of a folder are the source's partitions, so they are read in parallel. A missing folder is an empty result.
-"""
+"""Paged listings: JSON pages of `data` and `next_page`, saved one file a page in a folder that Spark can reach."""
 
 from __future__ import annotations
 
-import json
-import os
-
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-
-class Page(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class PagedReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.folder = options["path"]
-
-    def partitions(self) -> list[Page]:
-        out, n = [], 1
-        while os.path.exists(path := os.path.join(self.folder, f"page-{n}.json")):
-            out.append(Page(path))
-            n += 1
-        return out or [Page("")]
-
-    def read(self, partition: Page):
-        if partition.path:
-            with open(partition.path) as f:
-                for row in json.load(f).get("data", []):
-                    yield (row.get("id"), json.dumps(row))
-
-
-class PagedSource(DataSource):
-    """Rows are (id, object as JSON)."""
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-    @classmethod
-    def name(cls) -> str:
-        return "paged"
+from quarry.sources.bulk import CARD_SCHEMA
 
-    def schema(self) -> str:
-        return "id string, object string"
 
-    def reader(self, schema) -> PagedReader:
-        return PagedReader(self.options)
+def read_pages(spark: SparkSession, folder: str, schema: str = CARD_SCHEMA) -> DataFrame:
+    """The objects of all pages, read in parallel. A missing folder is an empty result; a page that can't be read has no objects."""
+    try:
+        pages = spark.read.text(folder, wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    columns = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in spark.createDataFrame([], schema).schema)
+    parsed = pages.select(F.from_json("value", f"data ARRAY<STRUCT<{columns}>>").alias("page"))
+    return parsed.select(F.inline("page.data"))

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from quarry.functions.colors import mask
 from quarry.functions.mana import devotion, mana_value, pips
 from quarry.functions.text import fold_accents
-from quarry.operators import catalogs, ingest, scores, tags, telemetry, upsert
+from quarry.operators import catalogs, engine, ingest, scores, tags, telemetry, upsert
 from quarry.operators.search import QueryError, browse, random_sample, search
 from quarry.sources import bulk
-from quarry.sources.paged import PagedSource
+from quarry.sources.paged import read_pages
 from quarry.streaming import query_log
 
 
@@ -106,10 +106,29 @@ def test_publish_swaps_whole_tables(spark, tmp_path):
 
 def test_paged_source(spark, tmp_path):
     for n in (1, 2):
-        (tmp_path / f"page-{n}.json").write_text(json.dumps({"data": [{"id": f"{n}{c}"} for c in "ab"], "next_page": n < 2}))
-    spark.dataSource.register(PagedSource)
-    assert sorted(x["id"] for x in spark.read.format("paged").option("path", str(tmp_path)).load().collect()) == ["1a", "1b", "2a", "2b"]
-    assert spark.read.format("paged").option("path", str(tmp_path / "none")).load().count() == 0
+        (tmp_path / f"page-{n}.json").write_text(json.dumps({"data": [raw(id=f"{n}{c}") for c in "ab"], "next_page": n < 2}, indent=1))
+    (tmp_path / "page-3.json").write_text("<html>")
+    pages = read_pages(spark, str(tmp_path))
+    assert sorted(x["id"] for x in pages.collect()) == ["1a", "1b", "2a", "2b"] and ingest.editions(pages).count() == 4
+    assert read_pages(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_engine(spark, tmp_path):
+    served = engine.SearchEngine(spark, str(tmp_path / "served"))
+    cards = ingest.editions(load(spark, tmp_path, [raw(), raw(id="p2", name="Wolf", oracle_id="o2", keywords=["Haste"])]))
+    assert served.reload(cards) == 2
+    assert [c["name"] for c in served.query("t:bear", orderby="name")["cards"]] == ["Bear", "Wolf"]
+    assert "TakeOrderedAndProject" in served.explain("t:bear") and served.explain_analyze("wolf")["total_cards"] == 1
+    assert [tuple(x) for x in served.common_card_keywords().collect()] == [("haste", 1)] and served.common_card_types().count() == 2
+    assert served.sample_preferred(5).count() == 2 and served.preferred().count() == 2
+    served.reload_begin()
+    served.add_batch(cards)
+    served.reload_abort()
+    with pytest.raises(ValueError):
+        served.add_batch(cards)
+    served.reload_begin()
+    served.add_batch(cards.filter("printing_id = 'p1'"))
+    assert served.size() == 2 and served.reload_commit() == 1 and served.size() == 1
 
 
 def test_upsert(spark):

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators.search import matching, search
+from quarry.operators.search import Prefer, Unique, matching, one_each, search
 from quarry.plans.compiler import compile_tree
 from quarry.plans.rewrite import read
 from quarry.plans.syntax import QueryError
@@ -163,6 +163,19 @@ def test_search_order_and_page(cards, rows, unique, prefer, column, down):
     assert found.total() == len(picked)
 
 
+def test_aggregation_picks_what_the_window_picks(cards):
+    for unique in (Unique.CARD, Unique.ARTWORK):
+        for prefer in Prefer:
+            a, b = (sorted(x["printing_id"] for x in one_each(cards, unique, prefer, hashed).select("printing_id").collect()) for hashed in (False, True))
+            assert a == b
+
+
+def test_words_with_gaps(cards, rows):
+    got = {x["printing_id"] for x in matching(cards, 'o:"draw 50%"', gaps=True).collect()}
+    assert got == {c["printing_id"] for c in rows if "draw a card" in c["oracle_text"] and "50%" in c["oracle_text"].split("draw a card", 1)[1]} and got
+    assert matching(cards, 'o:"draw 50%"').count() == 0
+
+
 @pytest.mark.parametrize("query", ["cmc+1", "5", "power", "(t:elf)>3", "r:purple", "s:/x.*/", "f>modern", "o:/(/", "t:elf+1"])
 def test_queries_that_compile_to_nothing(cards, query):
     if query == "power":
