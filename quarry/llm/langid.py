@@ -7,7 +7,8 @@ log-probabilities per language, and one array of context hashes with their inter
 search finds an n-gram, and what is unseen falls back by its context's weight. The language of the lowest
 cross-entropy per character wins. A part of the sample is kept from estimation to calibrate rejection: a text
 is rejected if its cross-entropy lies more than REJECT_Z standard deviations above that of its language's own texts,
-where the deviation allows for the text's length.
+where the deviation is that of the language whose texts vary most and allows for the text's length, and if it is also
+above what texts of the nearest other language have under this one's model, so that texts in two languages stay.
 
 Fitting takes a bounded sample (TRAIN_DOCS texts a language in expectation, MAX_DOCS in all, of at most TRAIN_BYTES
 each) drawn by a hash of doc_id; every whole text is predicted. Texts are scored in runs of RUN characters.
@@ -164,15 +165,18 @@ class Models:
 
     def calibrate(self, held: dict[str, list[np.ndarray]]) -> None:
         k = len(self.langs)
-        self.mean, self.spread, self.each = np.zeros(k), np.zeros(k), np.zeros(k)
+        self.mean, self.spread, self.each, self.foreign = np.zeros(k), np.zeros(k), np.zeros(k), np.full(k, np.inf)
         for j, lang in enumerate(self.langs):
             if not held[lang]:
                 continue
-            own = [-self.log_probability(*padded([p]))[:, j].astype(float) for p in held[lang]]
-            self.each[j] = np.var(np.concatenate(own))
-            means = np.array([v.mean() for v in own])
-            self.mean[j] = np.average(means, weights=[len(v) for v in own])
-            self.spread[j] = np.var(means)
+            own = [-self.log_probability(*padded([p])).astype(float) for p in held[lang]]
+            every = np.concatenate(own)
+            self.mean[j], self.each[j] = every[:, j].mean(), np.var(every[:, j])
+            self.spread[j] = np.var([v[:, j].mean() for v in own])
+            others = np.arange(k) != j
+            self.foreign[others] = np.minimum(self.foreign[others], every.mean(axis=0)[others])
+        self.spread[:] = self.spread.max(initial=0)
+        self.foreign[~np.isfinite(self.foreign)] = 0
 
     def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of each text, and minus their log2 probability under each language."""
@@ -210,7 +214,7 @@ class Models:
         best = entropy.argmin(axis=1)
         least = entropy[np.arange(n), best]
         score = 1 / np.exp2(-(entropy - least[:, None]) * np.minimum(size, 50)[:, None]).sum(axis=1)
-        limit = self.mean[best] + REJECT_Z * np.sqrt(self.spread[best] + self.each[best] / np.maximum(size, 1))
+        limit = np.maximum(self.foreign[best], self.mean[best] + REJECT_Z * np.sqrt(self.spread[best] + self.each[best] / np.maximum(size, 1)))
         blank = size == 0
         return ["und" if b else self.langs[i] for i, b in zip(best, blank)], np.where(blank, 0, score), np.where(blank, np.nan, least), blank | (least > limit)
 
