@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import catalogs, scores, tags, telemetry, upsert
+from quarry.operators import catalogs, ingest, scores, tags, telemetry, upsert
 from quarry.operators.search import Unique, browse, matching, one_each, random_sample, search, total_and_page
+from quarry.sources.bulk import CARD_SCHEMA
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -271,6 +272,47 @@ def tag_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw objects written as JSON, read back with the dump's schema, and made into editions, one row a face."""
+    key, name, size = F.col("p_partkey"), F.col("p_name"), F.col("p_size")
+    text = lambda c: c.cast("string")
+    face = lambda n, line, cost: F.struct(F.lit(n).alias("name"), F.lit(line).alias("type_line"), F.lit(cost).alias("mana_cost"), text(size).alias("power"))
+    raw = table(spark, sf_dir, "part").select(
+        text(key).alias("id"),
+        text(key).alias("oracle_id"),
+        F.when(key % 17 == 0, F.concat(name, F.lit(" // "), name)).otherwise(F.concat(F.lit("É"), name)).alias("name"),
+        F.when(F.col("p_type") == "SMALL", "token creature").otherwise(F.concat(F.lower("p_type"), F.lit(" creature — "), name)).alias("type_line"),
+        F.lit("{2}{R}{R/G}").alias("mana_cost"),
+        (size % 9).cast("double").alias("cmc"),
+        F.when(size % 4 == 0, "*").otherwise(text(size % 13)).alias("power"),
+        F.array(F.lit("R"), F.lit("G")).alias("colors"),
+        F.array(F.lit("First strike"), F.lit("first strike")).alias("keywords"),
+        F.create_map(F.lit("modern"), F.when(size % 5 == 0, "not_legal").when(size % 5 == 1, "restricted").otherwise("legal")).alias("legalities"),
+        F.struct(text(F.col("p_retailprice")).alias("usd")).alias("prices"),
+        F.when(key % 10 == 0, F.array(F.lit("arena"))).otherwise(F.array(F.lit("paper"))).alias("games"),
+        F.when(key % 23 == 0, "funny").alias("set_type"),
+        F.concat(text(size), F.lit("a")).alias("collector_number"),
+        F.lit("Mythic").alias("rarity"),
+        F.when(key % 6 == 0, F.array(face("Front", "Land", ""), face("Back", "Artifact — Vehicle", "{G}{G}"))).alias("card_faces"),
+    )
+    read = raw.select(F.from_json(F.to_json(F.struct("*")), CARD_SCHEMA).alias("o")).select("o.*")
+    made = ingest.editions(read, all_faces=True)
+    return made.select("printing_id", "face_idx", "card_name_folded", F.array_join("card_types", " ").alias("types"), F.size("card_subtypes").alias("subtypes"), "cmc", "creature_power", F.array_join("card_keywords", ",").alias("keywords"),
+        F.try_element_at("mana_cost_jsonb", F.lit("R/G")).alias("hybrid"), F.try_element_at("devotion", F.lit("G")).alias("devotion_g"), "card_colors", F.col("price_usd").cast("double").alias("usd"), "card_rarity_int", "collector_number_int")
+
+
+INGEST_SQL = """
+WITH p AS (SELECT *, p_partkey % 6 = 0 AS faced FROM part WHERE p_size % 5 <> 0 AND p_partkey % 10 <> 0 AND p_partkey % 23 <> 0 AND p_partkey % 17 <> 0),
+f AS (SELECT *, 0 AS face FROM p WHERE NOT faced AND p_type <> 'SMALL' UNION ALL SELECT *, unnest([1, 2]) AS face FROM p WHERE faced)
+SELECT CAST(p_partkey AS VARCHAR) AS printing_id, greatest(face, 1) AS face_idx, 'e' || lower(p_name) AS card_name_folded,
+  CASE face WHEN 0 THEN upper(p_type[1]) || lower(p_type[2:]) || ' Creature' WHEN 1 THEN 'Land' ELSE 'Artifact' END AS types,
+  CASE face WHEN 0 THEN len(string_split(p_name, ' ')) WHEN 1 THEN 0 ELSE 1 END AS subtypes, p_size % 9 AS cmc,
+  CASE face WHEN 0 THEN CASE WHEN p_size % 4 <> 0 THEN p_size % 13 END WHEN 2 THEN p_size END AS creature_power, 'first strike' AS keywords,
+  CASE WHEN face = 0 THEN 1 END AS hybrid, CASE face WHEN 0 THEN 1 WHEN 2 THEN 2 END AS devotion_g, 3 AS card_colors, CAST(round(p_retailprice, 2) AS DOUBLE) AS usd, 3 AS card_rarity_int, p_size AS collector_number_int
+FROM f
+"""
+
+
 def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of two years merged into all orders up to the second: prices of some change, some rows are new."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
@@ -377,6 +419,7 @@ ANALYTICS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
         f"""WITH {VIEW}, w AS (SELECT upper(x[1]) || x[2:] AS t FROM (SELECT unnest(string_split(p_name, ' ')) AS x FROM e))
             SELECT t AS completion FROM w WHERE lower(t) LIKE 'b%' GROUP BY t ORDER BY count(*) DESC, t LIMIT 1""",
     ),
+    "e5_ingest": (ingested, INGEST_SQL),
     "e6_upsert": (upserted, UPSERT_SQL),
     "u6_last_of_each": (
         lambda s, d: upsert.last_of_each(table(s, d, "events").select("user_id", "event_id", "value"), ["user_id"], F.col("event_id")),
@@ -391,6 +434,7 @@ ANALYTICS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
         """WITH RECURSIVE r(tag, reached) AS (SELECT p_partkey, p_partkey FROM part WHERE p_partkey < 200 UNION SELECT tag, reached // 3 FROM r WHERE reached > 0)
            SELECT CAST(tag * 2 AS VARCHAR) AS oracle_id, string_agg('tag' || reached, ',' ORDER BY 'tag' || reached) AS tags FROM r GROUP BY tag""",
     ),
+    "e9_tag_edges": (lambda s, d: tags.edges(tag_dump(s, d)), "SELECT 'tag' || p_partkey AS child_tag, 'tag' || p_partkey // 3 AS parent_tag FROM part WHERE p_partkey BETWEEN 1 AND 199"),
     "e10_cycles": (lambda s, d: tags.cycles(tag_edges(s, d).unionByName(s.sql("SELECT 0L AS child_tag, 5L AS parent_tag"))), "SELECT unnest([0, 1, 2, 5]) AS tag WHERE TRUE"),
     "e11_add_tag": (
         lambda s, d: upsert.add_tag(editions(s, d), editions(s, d).filter("cmc = 3"), "three").groupBy(F.array_join("card_is_tags", ",").alias("tags")).agg(F.count(F.lit(1)).alias("n")),
