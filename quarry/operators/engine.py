@@ -7,7 +7,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.operators import catalogs
-from quarry.operators.search import Prefer, Unique, one_each, random_sample, search
+from quarry.operators.search import Prefer, Unique, held, one_each, random_sample, search
 from quarry.sources.bulk import publish
 
 
@@ -24,7 +24,7 @@ class SearchEngine:
         cards = self.spark.read.parquet(self.path)
         if self.cards is not None and self.cached:
             self.cards.unpersist()
-        self.cards = cards.cache() if self.cached else cards
+        self.cards = held(cards) if self.cached else cards
         return self
 
     def _open_cards(self) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import functools
 import time
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from enum import StrEnum, auto
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,12 +132,13 @@ def one_each(rows: DataFrame, unique: Unique, prefer: Prefer, hashed: bool = Fal
         signed = value if direction is Direction.ASC else -value
         best = F.struct(value.isNull(), signed, F.col("prefer_score").isNull(), -F.col("prefer_score"), F.col("printing_id"))
         return rows.groupBy(*GROUPS[unique]).agg(F.min_by(F.struct(*rows.columns), best).alias("row_")).select("row_.*")
-    order = [nulls_last(F.col(column), direction), F.col("prefer_score").desc_nulls_last(), F.col("printing_id")]
+    order = [nulls_last(F.col(column), direction), *([F.col("prefer_score").desc_nulls_last()] if column != "prefer_score" else []), F.col("printing_id")]
     return rows.withColumn("pick_", F.row_number().over(Window.partitionBy(*GROUPS[unique]).orderBy(*order))).filter("pick_ = 1").drop("pick_")
 
 
 def ordered(rows: DataFrame, orderby: OrderBy, direction: Direction) -> DataFrame:
-    return rows.orderBy(nulls_last(F.expr(SORTS[orderby]), direction), F.col("edhrec_rank").asc_nulls_last(), F.col("printing_id"))
+    ties = [] if orderby is OrderBy.EDHREC else [F.col("edhrec_rank").asc_nulls_last()]
+    return rows.orderBy(nulls_last(F.expr(SORTS[orderby]), direction), *ties, F.col("printing_id"))
 
 
 def paged(rows: DataFrame, limit: int | None, offset: int) -> DataFrame:
@@ -153,31 +156,43 @@ def shown(rows: DataFrame, fields: Iterable[str] | None) -> DataFrame:
     return rows.select(*[F.col(known[n]).alias(n) for n in names])
 
 
+def timed(run: Callable[[], Any]) -> tuple[Any, float]:
+    """What run returns, and the milliseconds it took."""
+    began = time.perf_counter()
+    return run(), 1000 * (time.perf_counter() - began)
+
+
+def held(cards: DataFrame) -> DataFrame:
+    """cards in memory, dealt out by card, so that picks and totals of cards and artworks need no shuffle."""
+    return cards.repartition("oracle_id").cache()
+
+
 @dataclass
 class Found:
-    """A lazy result: the page, all matches (one per group), and what was asked."""
+    """A lazy result: the page, all matches (one per group), their groups, and what was asked."""
 
     page: DataFrame
     matches: DataFrame
+    groups: DataFrame
     query: str
     explanation: str
     params: dict = field(default_factory=dict)
 
     def total(self) -> int:
-        return self.matches.count()
+        """How many matches there are; groups need no pick and no order, so they are counted."""
+        return self.groups.count()
 
     def envelope(self, shape: str = Shape.ROWS) -> dict:
-        """The page and total as plain values. Both come from the same plan; cache matches to run it once."""
-        began = time.perf_counter()
-        rows = [r.asDict(recursive=True) for r in self.page.collect()]
-        listed = time.perf_counter()
-        total = self.total()
-        counted = time.perf_counter()
+        """The page and total as plain values; the two jobs run side by side."""
+        with ThreadPoolExecutor(2) as jobs:
+            counting, paging = jobs.submit(timed, self.total), jobs.submit(timed, self.page.collect)
+            (total, count_ms), (page, page_ms) = counting.result(), paging.result()
+        rows = [r.asDict(recursive=True) for r in page]
         if choice(Shape, shape, "shape") is Shape.COLUMNAR:
             cards: object = {c: [r[c] for r in rows] for c in self.page.columns}
         else:
             cards = rows
-        timings = {"page_ms": 1000 * (listed - began), "count_ms": 1000 * (counted - listed)}
+        timings = {"page_ms": page_ms, "count_ms": count_ms}
         return {"cards": cards, "compiled": self.query, "params": self.params, "query": self.query, "query_explanation": self.explanation, "timings": timings, "total_cards": total}
 
     def explain(self) -> str:
@@ -188,15 +203,16 @@ class Found:
 def search(cards: DataFrame, query: str = "", unique: str = Unique.CARD, prefer: str = Prefer.DEFAULT, orderby: str = OrderBy.EDHREC, direction: str = Direction.ASC, limit: int | None = DEFAULT_LIMIT, offset: int = 0, fields: Iterable[str] | None = None) -> Found:
     """Cards that match a query. Raises QueryError for what can't be read or isn't offered."""
     unique, prefer, orderby, direction = choice(Unique, unique, "unique"), choice(Prefer, prefer, "prefer"), choice(OrderBy, orderby, "orderby"), choice(Direction, direction, "direction")
-    kept = one_each(matching(cards, query), unique, prefer)
+    rows = matching(cards, query)
+    kept, groups = one_each(rows, unique, prefer), rows if unique is Unique.PRINTING else rows.select(*GROUPS[unique]).distinct()
     page = shown(paged(ordered(kept, orderby, direction), limit, offset), fields)
     params = {"unique": unique, "prefer": prefer, "orderby": orderby, "direction": direction, "limit": limit, "offset": offset}
-    return Found(page, kept, query, explain(parsed(query)), {k: str(v) if isinstance(v, StrEnum) else v for k, v in params.items()})
+    return Found(page, kept, groups, query, explain(parsed(query)), {k: str(v) if isinstance(v, StrEnum) else v for k, v in params.items()})
 
 
 def total_and_page(found: Found) -> DataFrame:
     """One DataFrame of the total (null on rows) and the page (null on the total)."""
-    count = found.matches.agg(F.count(F.lit(1)).alias("total_cards_count"))
+    count = found.groups.agg(F.count(F.lit(1)).alias("total_cards_count"))
     return found.page.withColumn("total_cards_count", F.lit(None).cast("long")).unionByName(count, allowMissingColumns=True)
 
 

@@ -65,11 +65,12 @@ def write_json(rows: DataFrame, path: str, by: str | None = None) -> None:
 def publish(cards: DataFrame, path: str, cluster: tuple[str, ...] = ("oracle_id",)) -> DataFrame:
     """Writes a table beside the old one and swaps it in, so that readers see the one or the other whole.
 
-    Rows are ranged and sorted by the card's key, so groups lie together and row-group statistics prune."""
+    Rows are dealt out and sorted by the card's key, so that a group lies in one file, its rows together. A hash needs no
+    sample of the keys first, as ranges would."""
     spark = cards.sparkSession
     fs_class = spark._jvm.org.apache.hadoop.fs
     new, old = f"{path}.new", f"{path}.old"
-    cards.repartitionByRange(*cluster).sortWithinPartitions(*cluster).write.mode("overwrite").parquet(new)
+    cards.repartition(*cluster).sortWithinPartitions(*cluster).write.mode("overwrite").parquet(new)
     fs = fs_class.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     fs.delete(fs_class.Path(old), True)
     if fs.exists(fs_class.Path(path)):
