@@ -208,7 +208,7 @@ def columns(b: pa.RecordBatch) -> list[np.ndarray]:
 def sort_out(batches: Iterator[pa.RecordBatch], group: int = GROUP) -> Iterator[pa.RecordBatch]:
     """Rows by seed, context and document -> spans, first contexts (CONTEXT), and those of crowded seeds (STRING)."""
     held = [np.zeros(0, np.int64)] * 5
-    crowded: int | None = None
+    crowded: list[int] = []  # seeds of which a part was told as crowded: the one before and the one at hand
 
     def told(part: list[np.ndarray], ended: bool) -> Iterator[pa.RecordBatch]:
         kind, key, key2, doc, place = part
@@ -227,8 +227,7 @@ def sort_out(batches: Iterator[pa.RecordBatch], group: int = GROUP) -> Iterator[
         np.minimum.at(least, seed, doc)
         np.maximum.at(most, seed, doc)
         many = contexts > group
-        if crowded is not None:
-            many |= key[changes(key)] == crowded
+        many |= np.isin(key[changes(key)], crowded)
         unlike = many | (contexts > 1) & (least < most)
         first = doc == low
         alike = many[seed]  # for the rest, contexts that agree with another on one side
@@ -249,7 +248,7 @@ def sort_out(batches: Iterator[pa.RecordBatch], group: int = GROUP) -> Iterator[
         end = int(np.flatnonzero(changes(key))[-1])  # the last seed may go on
         if len(key) - end > 4 * group:
             # too many for one block whatever follows: tell all but the last context, which may go on
-            crowded = int(key[-1])
+            crowded = [*crowded[-1:], int(key[-1])]
             end = int(np.flatnonzero(changes(key, held[2]))[-1])
         yield from told([x[:end] for x in held], False)
         held = [x[end:] for x in held]
@@ -351,7 +350,7 @@ def block_spans(key: list[int], doc: list[int], place: list[int], data: list[byt
     hit = np.flatnonzero((least < docs) & (offset + LENGTH <= size[owner]))
     # runs of starts within a context become one span
     first = np.flatnonzero(np.diff(hit, prepend=-2) > 1)
-    last = np.append(first[1:], len(hit)) - 1
+    last = np.append(first[1:], len(hit))[: len(first)] - 1
     lo = region(np.array(place, np.int64))[0][owner[hit]] + offset[hit]
     return span_rows(docs[hit][first], lo[first], lo[last] + LENGTH)
 
