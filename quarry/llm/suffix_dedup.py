@@ -39,7 +39,8 @@ from quarry.llm.scratch import Scratch, small_batches
 LENGTH, SEED = 50, 16
 SIDE = LENGTH - SEED  # bytes that a string can have on one side of a seed
 WINDOW = SIDE + 1  # seeds in a string
-SEGMENT = 1 << 20  # bytes of text that are hashed at once
+SEGMENT = 1 << 20  # bytes of a text that are hashed at once at most
+TOGETHER = 1 << 17  # bytes of short texts that are hashed at once
 FLUSH = 1 << 18  # seeds that a task settles among themselves
 GROUP = 2048  # unlike contexts of a seed that go into a block
 BLOCK = 1 << 19  # bytes of a block
@@ -81,27 +82,35 @@ def region_hash(words: np.ndarray, at: np.ndarray, size: np.ndarray | int, salt:
     return mix(out)
 
 
-def seeds(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(seed hash, context hash, place) of a text's seeds, by segments.
+def segments(doc: int, text: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(doc, first byte, bytes) of parts whose strings make up the text's."""
+    for a in range(0, len(text) - LENGTH + 1, SEGMENT):
+        yield doc, a, text[a : a + SEGMENT + LENGTH - 1]
+
+
+def seeds(parts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, seed hash, context hash, place) of the seeds of segments, all at once.
 
     A string's seed is the leftmost of least hash; strings in a row with one seed make up its context. place packs the
     seed's position, a byte of hash of the HALF bytes on either side (0 where the context has fewer), and the numbers of
     the context's bytes before and after the seed."""
-    n = len(text)
-    for a in range(0, n - LENGTH + 1, SEGMENT):
-        b = min(a + SEGMENT, n - LENGTH + 1)  # strings that start in [a, b)
-        data = np.frombuffer(text[a : b + LENGTH - 1] + bytes(8), np.uint8)
-        words, spots = loads(data), b - a + SIDE
-        h = mix(words[:spots] * C1 ^ mix(words[8 : spots + 8]))
-        least = sliding(h >> PLACES << PLACES | np.arange(spots, dtype=np.uint64), WINDOW, np.minimum)
-        best = (least & ((U(1) << PLACES) - U(1))).astype(np.int64)
-        start = np.flatnonzero(changes(best))
-        end = np.append(start[1:], len(best)) - 1 + LENGTH
-        at = best[start]
-        before, after = at - start, end - at - SEED
-        context = region_hash(words, start, end - start, C2) ^ mix(before.astype(np.uint64))
-        sides = [np.where(there >= HALF, region_hash(words, np.clip(from_, 0, len(data) - HALF - 8), HALF, C1) % U(255) + U(1), U(0)).astype(np.int64) for there, from_ in ((before, at - HALF), (after, at + SEED))]
-        yield h[at], context, (at + a) << 28 | sides[0] << 20 | sides[1] << 12 | before << 6 | after
+    doc, base = (np.array(x, np.int64) for x in zip(*((d, a) for d, a, _ in parts)))
+    size = np.array([len(x) for _, _, x in parts], np.int64)
+    data = np.frombuffer(b"".join([x for _, _, x in parts]) + bytes(8), np.uint8)
+    words, spots, number = loads(data), len(data) - 8 - SEED + 1, size - LENGTH + 1  # number: strings of each segment
+    h = mix(words[:spots] * C1 ^ mix(words[8 : spots + 8]))
+    least = sliding(h >> PLACES << PLACES | np.arange(spots, dtype=np.uint64), WINDOW, np.minimum)
+    offset, ends = np.cumsum(size) - size, np.cumsum(number)
+    starts = np.arange(ends[-1]) + np.repeat(offset - ends + number, number)  # strings that cross segments are left out
+    best = (least[starts] & ((U(1) << PLACES) - U(1))).astype(np.int64)
+    first = np.flatnonzero(changes(best))
+    start, at = starts[first], best[first]
+    end = starts[np.append(first[1:], len(best)) - 1] + LENGTH
+    before, after = at - start, end - at - SEED
+    context = region_hash(words, start, end - start, C2) ^ mix(before.astype(np.uint64))
+    sides = [np.where(there >= HALF, region_hash(words, np.clip(from_, 0, len(data) - HALF - 8), HALF, C1) % U(255) + U(1), U(0)).astype(np.int64) for there, from_ in ((before, at - HALF), (after, at + SEED))]
+    own = np.searchsorted(ends, first, side="right")
+    return doc[own], h[at], context, (at - offset[own] + base[own]) << 28 | sides[0] << 20 | sides[1] << 12 | before << 6 | after
 
 
 def region(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,9 +174,9 @@ class Settler:
     def __init__(self, kind: int):
         self.kind, self.held, self.n = kind, [], 0
 
-    def add(self, doc: int, key: np.ndarray, key2: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, doc: np.ndarray, key: np.ndarray, key2: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(key):
-            self.held.append((key, key2, np.full(len(key), doc, np.int64), place))
+            self.held.append((key, key2, doc, place))
             self.n += len(key)
         if self.n >= FLUSH:
             yield from self.flush()
@@ -192,12 +201,18 @@ class Settler:
 
 
 def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Seeds of all documents (doc, text)."""
-    own = Settler(CONTEXT)
+    """Seeds of all documents (doc, text); short ones are hashed together."""
+    own, parts, held = Settler(CONTEXT), [], 0
     for b in batches:
         for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-            for key, key2, place in seeds(text.as_py()):
-                yield from own.add(doc, key, key2, place)
+            for part in segments(doc, text.as_py()):
+                parts.append(part)
+                held += len(part[2])
+                if held >= TOGETHER:
+                    yield from own.add(*seeds(parts))
+                    parts, held = [], 0
+    if parts:
+        yield from own.add(*seeds(parts))
     yield from own.flush()
 
 
@@ -210,7 +225,7 @@ def sort_out(batches: Iterator[pa.RecordBatch], group: int = GROUP) -> Iterator[
     held = [np.zeros(0, np.int64)] * 5
     crowded: list[int] = []  # seeds of which a part was told as crowded: the one before and the one at hand
 
-    def told(part: list[np.ndarray], ended: bool) -> Iterator[pa.RecordBatch]:
+    def told(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         kind, key, key2, doc, place = part
         span = kind == SPAN
         yield rows(SPAN, key[span], key2[span], doc[span], place[span])
@@ -250,14 +265,14 @@ def sort_out(batches: Iterator[pa.RecordBatch], group: int = GROUP) -> Iterator[
             # too many for one block whatever follows: tell all but the last context, which may go on
             crowded = [*crowded[-1:], int(key[-1])]
             end = int(np.flatnonzero(changes(key, held[2]))[-1])
-        yield from told([x[:end] for x in held], False)
+        yield from told([x[:end] for x in held])
         held = [x[end:] for x in held]
         if len(held[1]) > 4 * group:
             # one context in very many documents: all but its first document are covered
             later = held[3] > held[3].min()
             yield span_rows(held[3][later], *region(held[4][later]))
             held = [x[~later] for x in held]
-    yield from told(held, True)
+    yield from told(held)
 
 
 def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +290,7 @@ def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 starts = np.unique(np.concatenate([np.arange(i, j - LENGTH + 1) for i, j in zip(lo.tolist(), hi.tolist())]))
                 for at in range(0, len(starts), SEGMENT):
                     some = starts[at : at + SEGMENT]
-                    yield from own.add(doc, *strings(text, some), some)
+                    yield from own.add(np.full(len(some), doc, np.int64), *strings(text, some), some)
     yield from own.flush()
 
 

@@ -4,6 +4,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 
@@ -188,6 +190,42 @@ def test_removals(spark, seed, group):
     assert got == brute_removals(docs)
 
 
+def in_one_task(docs, group):
+    """The operator's steps on plain batches, with every shuffle replaced by a sort."""
+
+    def ordered(batches, *keys):
+        rows = pa.Table.from_batches(batches)
+        return rows.take(pc.sort_indices(rows, [(k, "ascending") for k in keys])).combine_chunks().to_batches(max_chunksize=37)
+
+    texts = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs], pa.int64()), pa.array([t for _, t in docs], pa.binary())], ["doc", "text"])
+    found = list(suffix_dedup.sort_out(ordered(list(suffix_dedup.gather([texts])), "key", "key2", "doc"), group))
+    asked = {}
+    for row in pa.Table.from_batches(found).to_pylist():
+        if row["kind"] != suffix_dedup.SPAN:
+            asked.setdefault(row["doc"], ([], []))[row["kind"] - 1].append({"key": row["key"], "place": row["place"]} if row["kind"] == suffix_dedup.CONTEXT else row["place"])
+    fetched = [(d, t, *asked[d]) for d, t in docs if d in asked]
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.struct([("key", pa.int64()), ("place", pa.int64())])), pa.list_(pa.int64())]
+    late = []
+    if fetched:
+        batch = pa.RecordBatch.from_arrays([pa.array([f[i] for f in fetched], k) for i, k in enumerate(kinds)], ["doc", "text", "contexts", "crowded"])
+        late = list(suffix_dedup.decide(ordered(list(suffix_dedup.fetch([batch])), "kind", "key", "key2", "doc")))
+    gone = {d: bytearray(len(t)) for d, t in docs}
+    for row in pa.Table.from_batches([*found, *late]).to_pylist():
+        if row["kind"] == suffix_dedup.SPAN:
+            gone[row["doc"]][row["key2"] : row["place"]] = b"\1" * (row["place"] - row["key2"])
+    return {d: sum(x) for d, x in gone.items()}
+
+
+@pytest.mark.parametrize("group, segment, together, flush", [(2048, 1 << 20, 1 << 17, 1 << 18), (2, 64, 1, 5), (1, 200, 500, 1), (3, 51, 3000, 40)])
+def test_cuts_of_work_change_nothing(monkeypatch, group, segment, together, flush):
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+    monkeypatch.setattr(suffix_dedup, "FLUSH", flush)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 300)
+    docs = planted(group + segment, 80)
+    assert in_one_task(docs, group) == {d: x[1] for d, x in brute_removals(docs).items()}
+
+
 def test_removals_on_edges(spark):
     long = "é" * 40 + "z"
     rows = [(1, None), (2, ""), (3, "x" * 49), (4, "x" * 49), (5, long), (6, long), (None, long), (7, long + "q"), (7, long + "q"), (8, "a" * 3_000_000), (9, "a" * 60)]
