@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.scratch import small_batches
 
-KEEP_PIECES = 300_000  # in each generation
+KEEP_PIECES = 400_000  # in each generation
 RUN = 1 << 16  # pieces of a long text that are held at once
 LONG = 1 << 19  # characters from which a text counts as long
 NONE = 1 << 62
@@ -42,44 +42,40 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    get, size = ranks.get, 1 << (n - 1).bit_length()
+    get, size, bits = ranks.get, 1 << (n - 1).bit_length(), n.bit_length()
+    place = (1 << bits) - 1
     tree = [NONE] * (2 * size)
     for i in range(n - 1):
         r = get(piece[i : i + 2])
         if r is not None:
-            tree[size + i] = r * n + i
+            tree[size + i] = r << bits | i
     for k in range(size - 1, 0, -1):
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a < b else b
     after, before = list(range(1, n + 1)), list(range(-1, n))
-
-    def put(i: int, v: int) -> None:
-        k = size + i
-        tree[k] = v
-        while k > 1:
-            w = tree[k ^ 1]
-            k >>= 1
-            v = w if w < v else v
-            if tree[k] == v:
-                return
-            tree[k] = v
-
-    def pair(i: int) -> int:
-        mid = after[i]
-        if mid >= n:
-            return NONE
-        r = get(piece[i : after[mid]])
-        return NONE if r is None else r * n + i
-
     while tree[1] < NONE:
-        i = tree[1] % n
+        i = tree[1] & place
         gone = after[i]
-        after[i] = after[gone]
-        before[after[gone]] = i
-        put(gone, NONE)
-        put(i, pair(i))
-        if before[i] >= 0:
-            put(before[i], pair(before[i]))
+        after[i] = end = after[gone]
+        before[end] = i
+        r = get(piece[i : after[end]]) if end < n else None
+        changed = [(gone, NONE), (i, NONE if r is None else r << bits | i)]
+        left = before[i]
+        if left >= 0:
+            r = get(piece[left:end])
+            changed.append((left, NONE if r is None else r << bits | left))
+        for leaf, v in changed:
+            # from the leaf to the root, or to where nothing changes
+            k = size + leaf
+            tree[k] = v
+            while k > 1:
+                w = tree[k ^ 1]
+                if w < v:
+                    v = w
+                k >>= 1
+                if tree[k] == v:
+                    break
+                tree[k] = v
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
@@ -133,12 +129,12 @@ class Codec:
         for run in self.runs(text):
             if not run:
                 continue
-            got = [pieces[p] for p in run]
-            told.update(((" " if n else "") + " ".join([g[1] for g in got])).encode())
-            back.update(b"".join([g[3] for g in got]))
-            n += sum([g[0] for g in got])
+            counts, ids, bits, decoded = zip(*map(pieces.__getitem__, run))
+            told.update(((" " if n else "") + " ".join(ids)).encode())
+            back.update(b"".join(decoded))
+            n += sum(counts)
             if with_ids:
-                packed.append(b"".join([g[2] for g in got]))
+                packed.append(b"".join(bits))
         return n, told.hexdigest(), back.hexdigest(), b"".join(packed) if with_ids else None
 
 
