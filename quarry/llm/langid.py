@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.columns import set_aside
 from quarry.llm.scratch import small_batches
 
 ORDER = 4
 TRAIN_DOCS, MAX_DOCS, TRAIN_BYTES = 400, 20_000, 20_000
 REJECT_Z = 8.0
-RUN = 1 << 19
+RUN = 1 << 16
 ALPHABET = 4096  # size of the uniform distribution below order 1
 STEP = np.uint64(0x9E3779B97F4A7C15)
 SPACE = 32
@@ -260,4 +261,5 @@ def predict(docs: DataFrame, models: Models, keep: list[str]) -> DataFrame:
 
 def accepted(docs: DataFrame, models: Models | None = None) -> DataFrame:
     """The rows whose language is known, with all their columns."""
-    return predict(docs, models or fit(docs), docs.columns).filter("NOT rejected_").select(*docs.columns)
+    safe, named = set_aside(docs, {"text_", "lang_pred_", "score_", "entropy_", "rejected_"})
+    return named(predict(safe, models or fit(docs), safe.columns).filter("NOT rejected_").select(*safe.columns))

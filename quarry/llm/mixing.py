@@ -23,11 +23,14 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.columns import set_aside
 from quarry.llm.ranks import add_rank, range_bits, shuffle_key
 
 #: Parts of a period by source; rest is what no other name takes.
 TARGETS = {"src0": 12} | {f"src{i}": n for i, n in enumerate([6] * 4 + [4] * 5 + [3] * 5 + [2] * 5, 1)} | {"rest": 1}
 BLOCK_ROWS, MAX_PERIOD = 32, 1 << 16
+#: Names of columns that are made on the way.
+OWN = {"stratum_", "key_", "rank_", "rank__total", "block_", "in_block_", "turn_", "plan_stratum_", "i_", "at_", "parts_", "slot_", "bucket_", "place_", "by_", "before_", "n_"}
 
 
 def schedule(parts: dict[str, int]) -> list[tuple[str, int, int]]:
@@ -71,4 +74,5 @@ def add_slots(docs: DataFrame, targets: dict[str, int] | None = None, block_rows
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """All rows with the columns of docs, in the order of the mix."""
-    return add_slots(docs, **options).repartitionByRange("slot_").sortWithinPartitions("slot_", "in_block_").select(*docs.columns)
+    safe, named = set_aside(docs, OWN)
+    return named(add_slots(safe, **options).repartitionByRange("slot_").sortWithinPartitions("slot_", "in_block_").select(*safe.columns))
