@@ -18,7 +18,7 @@ an empty table gives an empty result; other columns are ignored, whatever their
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.scratch import Scratch
@@ -55,6 +55,7 @@ class ExtendibleIndex:
         self.max_depth = min(MAX_DEPTH, key_bits)
         keyed = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         self.keyed = keyed.withColumn("h", text_key(F.col("text"), key_bits))
+        self.rows = self.scratch.put(self.keyed.select("doc_id", "h"), "rows")
         entries = self.scratch.put(
             self.keyed.groupBy("h", "text")
             .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -80,17 +81,27 @@ class ExtendibleIndex:
         span = F.pow(F.lit(2), F.lit(depth) - local).cast("int")
         return slot - F.pmod(slot, span)
 
+    def repeats(self) -> bool:
+        """Whether any row repeats another's doc_id and hash."""
+        return not self.rows.groupBy("h", "doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+
     def look_up(self) -> DataFrame:
         """doc_id, keep_id, group_size, kept, text_sha256 for each row."""
-        out = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
-        rows = self.keyed.select("doc_id", "h", self.bucket(F.col("h")).alias("bucket"))
+        stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("twin") == 1)
+        out = ["doc_id", "keep_id", "group_size", stays.alias("kept"), "text_sha256"]
+        repeats = self.repeats()
+
+        def numbered(rows: DataFrame, *by: str) -> DataFrame:
+            return rows.withColumn("twin", F.row_number().over(Window.partitionBy(*by).orderBy("h")) if repeats else F.lit(1))
+
+        rows = numbered(self.rows, "h", "doc_id").withColumn("bucket", self.bucket(F.col("h")))
         found = rows.join(self.entries.filter("chain = 1"), ["bucket", "h"]).select(*out)
         chained = self.entries.filter("chain > 1").select("h").distinct()
         if chained.isEmpty():
             return found
         texts = self.keyed.join(self.scratch.put(chained, "chained"), "h", "left_semi")
         heads = texts.groupBy("h", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        told = texts.join(self.scratch.put(heads, "heads"), ["h", "text"]).withColumn("text_sha256", F.sha2("text", 256))
+        told = numbered(texts, "h", "text", "doc_id").join(self.scratch.put(heads, "heads"), ["h", "text"]).withColumn("text_sha256", F.sha2("text", 256))
         return found.unionByName(told.select(*out))
 
 
@@ -103,5 +114,11 @@ def survivors(docs: DataFrame, key_bits: int = 64, **options) -> DataFrame:
     """The rows that stay, with all their columns; one shuffle of the rows by (hash, doc_id), which no group can skew."""
     index = ExtendibleIndex(docs, key_bits=key_bits, **options)
     kept = index.entries.select(F.col("h").alias("kept_h"), F.col("keep_id").alias("kept_id"))
-    h = text_key(F.coalesce(docs["text"], F.lit("")), key_bits)
-    return docs.join(kept, (h == kept["kept_h"]) & docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    text = F.coalesce(docs["text"], F.lit(""))
+    left = docs.join(kept, (text_key(text, key_bits) == kept["kept_h"]) & docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    if not index.repeats():
+        return left
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = left.select(row.alias("row"), text.alias("text"), F.col("doc_id").alias("doc_id"))
+    first = F.row_number().over(Window.partitionBy("text", "doc_id").orderBy(F.xxhash64("row")))
+    return packed.withColumn("twin", first).filter("twin = 1").select("row.*")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,18 @@ def test_exact_on_edges(spark):
     assert got[5, sha("Same words here")]["group_size"] == 1
     assert got[None, sha("lonely")]["kept"] and got[None, sha("lonely")]["keep_id"] is None
     assert got[6, sha("é\n\t")]["group_size"] == 2
-    assert exact_dedup.decisions(table(spark, EDGES)).count() == len(EDGES)
+    every = exact_dedup.decisions(table(spark, EDGES)).collect()
+    assert len(every) == len(EDGES) and sorted(r["kept"] for r in every if r["doc_id"] == 6) == [False, True]
+    assert Counter(r["doc_id"] for r in exact_dedup.survivors(table(spark, EDGES)).collect()) == Counter([2, 4, 5, None, 6, 7])
+
+
+@pytest.mark.parametrize("key_bits", [64, 1])
+def test_repeated_rows(spark, key_bits):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (1, "b"), (None, "c"), (None, "c"), (0, "a")]
+    docs = table(spark, rows)
+    told = exact_dedup.decisions(docs, key_bits=key_bits).collect()
+    assert Counter((r["doc_id"], r["group_size"], r["kept"]) for r in told) == Counter([(1, 3, True), (1, 3, False), (1, 2, True), (1, 2, False), (None, 2, True), (None, 2, False), (0, 3, False)])
+    assert Counter((r["doc_id"], r["text"]) for r in exact_dedup.survivors(docs, key_bits=key_bits).collect()) == Counter([(1, "a"), (1, "b"), (None, "c")])
 
 
 @pytest.mark.parametrize("key_bits, capacity", [(64, None), (64, 1), (3, 2), (1, 1)])
