@@ -10,7 +10,8 @@ import pyarrow.compute as pc
 import pytest
 import xxhash
 
-from quarry.llm import exact_dedup, simhash, suffix_dedup
+import corpus_pipeline
+from quarry.llm import exact_dedup, near_dedup, simhash, suffix_dedup
 from quarry.llm.components import components
 from quarry.llm.scratch import Scratch
 
@@ -146,6 +147,43 @@ def test_classes_and_survivors(spark):
     assert {r["doc_id"] for r in left.collect()} == {i for i in want if want[i] == i} | {None}
 
 
+def brute_shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+
+@pytest.mark.parametrize("chunk", [3, 512])
+def test_near_copies_from_80_to_95_percent(spark, chunk):
+    r, rows = random.Random(8), []
+    for i in range(60):
+        w = [f"w{r.randrange(5000)}" for _ in range(300)]
+        rows.append((10 * i, " ".join(w)))
+        for k, edits in enumerate((1, 3, 5, 6, 7, 9, 14), 1):
+            v = list(w)
+            for at in r.sample(range(300), edits):
+                v[at] = f"new{r.randrange(10**9)}"
+            rows.append((10 * i + k, " ".join(v)))
+    rows += [(9000, "Two words"), (9001, "two  WORDS"), (9002, "two words more"), (9003, ""), (9004, None), (None, rows[0][1])]
+    sets, label = {i: brute_shingles(t) for i, t in rows if i is not None}, {}
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    near = {i: [k for k in sets if k // 10 == i // 10 and alike(sets[i], sets[k])] for i in sets}
+    for i in sorted(sets):
+        queue = [] if i in label else [i]
+        while queue:
+            at = queue.pop()
+            if at not in label:
+                label[at] = i
+                queue += near[at]
+    in_reach = [len(sets[i] & sets[k]) / len(sets[i] | sets[k]) for i in sets for k in near[i] if i < k]
+    assert sum(0.8 <= j <= 0.95 for j in in_reach) > 100
+    docs = table(spark, rows)
+    assert {x["doc_id"]: x["component_id"] for x in near_dedup.classes(docs, chunk=chunk).collect()} == label
+    assert Counter(x["doc_id"] for x in near_dedup.survivors(docs).collect()) == Counter([i for i in label if label[i] == i] + [None])
+    if chunk == 512:
+        kept = {x["doc_id"] for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+        assert kept == {i for i in label if label[i] == i} | {None}
+
+
 def test_components_on_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(129, 200), (5, 5)]
     df = spark.createDataFrame(edges, "lo long, hi long")
