@@ -44,8 +44,7 @@ def op5() -> str:
     found = " UNION ALL ".join(
         f"SELECT doc_id, {i} AS ord, '{k}' AS kind, regexp_extract_all(text, {quoted(p)}) AS m, string_split_regex(text, {quoted(p)}) AS g FROM d WHERE regexp_matches(text, {quoted(p)})" for i, (k, p) in enumerate(kinds)
     )
-    repeated = r"(.)\1{7}"  # no back references here; tested character by character
-    allowed = " OR ".join(f"regexp_matches(found, {quoted(p)})" for p in secrets.ALLOWED if p != repeated)
+    allowed = f"NOT regexp_matches(p, '[0-9]|[A-Za-z][A-Z]') OR regexp_full_match(p, '[A-Z]+') OR NOT regexp_matches(p, '[A-Za-z]') OR regexp_matches(p, {quoted(secrets.PLACEHOLDER)})"
     w = secrets.WINDOW
     return f"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -55,9 +54,9 @@ def op5() -> str:
                FROM each WINDOW o AS (PARTITION BY doc_id, ord ORDER BY j)),
     judged AS (SELECT doc_id, ord, kind, start, start + length(found) AS stop FROM placed WHERE
       CASE kind WHEN 'assign' THEN length(regexp_extract(found, {quoted("^" + secrets.ASSIGN + "$")}, 2)) >= 12
-        WHEN 'entropy' THEN NOT ({allowed} OR len(list_filter(list_distinct(string_split(found, '')), lambda c: contains(found, repeat(c, 8)))) > 0)
-          AND list_max(list_transform(range(1, length(found) - {w - 2}), lambda i: list_aggregate(string_split(substr(found, i, {w}), ''), 'entropy')))
-              >= CASE WHEN regexp_matches(found, '^([0-9a-f]+|[0-9A-F]+)$') THEN {secrets.THRESHOLDS["hex"]} ELSE {secrets.THRESHOLDS["base64"]} END
+        WHEN 'entropy' THEN len(list_filter(string_split_regex(found, '=+'), lambda p: length(p) >= {w} AND NOT ({allowed})
+          AND list_max(list_transform(range(1, length(p) - {w - 2}), lambda i: list_aggregate(string_split(substr(p, i, {w}), ''), 'entropy')))
+              >= CASE WHEN regexp_full_match(p, '[0-9a-f]+|[0-9A-F]+') THEN {secrets.THRESHOLDS["hex"]} ELSE {secrets.THRESHOLDS["base64"]} END)) > 0
         ELSE TRUE END),
     told AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) AS spans,
         coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (ord < 3), '') AS base,

@@ -206,6 +206,41 @@ def test_entropy_windows_and_allow_list(spark):
     assert told == dict(enumerate(texts.values()))
 
 
+def brute_candidates(text):
+    """Spans of candidates of which a part between equal signs is secret, by windows counted anew each."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        for part in re.split("=+", m[0]):
+            slug = all(re.fullmatch(r"[A-Za-z]?[a-z]*", w) for w in re.split(r"[-_/+]+", part))
+            word = re.search(r"example|placeholder|changeme|your[_-]?(key|token|secret)", part, re.I)
+            least = 3.0 if re.fullmatch("[0-9a-f]*|[0-9A-F]*", part) else 3.7
+            if not (slug or word or re.fullmatch(r"[A-Z]*|[0-9+/_-]*", part)) and brute_entropy(part) >= least:
+                out.append((m.start(), m.end()))
+                break
+    return out
+
+
+def test_candidates_against_brute_force(spark):
+    r = random.Random(11)
+    bits = ["=", "-", "_", "/", "word", "Word", "WORD", "example", "YOUR_KEY", "0000000", "deadbeef", "k9Qx7Lm2", "Zt4Rw8Zp", " ", "=="]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(500)]
+    texts += ["example_key=k9Qx7Lm2Vt4Rw8Zp3Ns6", "AAAAAAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZWQyNTUxOQ"]
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts += ["a-" * 5000 + "1Q", "a-" * 500_000 + "1Q", "aB1" * 3000, "".join(r.choice(chars) for _ in range(10_000)), "ab1" * 333_000 + "k9Qx7Lm2Vt4Rw8Zp3Ns6", "ab1" * 80 + "k9Qx7Lm2Vt4Rw8Zp3Ns6" + "1ba" * 200]
+    got = {x["doc_id"]: [tuple(map(int, s.split(":")[1:])) for s in x["spans"].split(",") if s.startswith("entropy")] for x in secrets.report(table(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
+    assert got == {i: brute_candidates(t) for i, t in enumerate(texts)}
+    assert [len(got[i]) for i in range(500, len(texts))] == [1, 1, 0, 0, 0, 1, 1, 1]
+
+
+def test_time_grows_with_a_candidate(spark):
+    """A candidate of 1.6 million characters of base64, and 200,000 matches in one text."""
+    r = random.Random(12)
+    long = "".join(r.choice("GHIJKLMNghijklmn01234567") for _ in range(1_600_000))
+    many = "deadbeef00112233 " * 200_000
+    got = {x["doc_id"]: x for x in secrets.report(table(spark, [(1, long, None), (2, many, None)])).collect()}
+    assert got[1]["spans"] == "entropy:0:1600000" and got[2]["n_hex"] == 200_000 and got[2]["spans"].endswith("hex:3399983:3399999")
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
