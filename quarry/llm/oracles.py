@@ -83,10 +83,11 @@ def op6() -> str:
     marks AS (SELECT template, label, len_ - {k - 1} AS size, i AS tpos, w, {lead} FROM (SELECT template, label, len(words) AS len_, unnest(words) AS w, unnest(range(len(words))) AS i FROM tw)
               WINDOW o AS (PARTITION BY template ORDER BY i)),
     votes AS (SELECT g.doc_id, t.template, t.label, t.size, g.i AS pos, t.tpos, g.i - t.tpos AS diagonal FROM grams g JOIN marks t ON g.w = t.w AND {same}),
-    apart AS (SELECT *, diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS step FROM votes),
-    runs AS (SELECT *, sum(CASE WHEN step <= {licenses.GAP} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM apart),
-    merged AS (SELECT doc_id, label, size, count(DISTINCT tpos) / size AS coverage, max(pos) + {k} - min(pos) AS words FROM runs GROUP BY doc_id, template, label, size, run),
-    spans AS (SELECT * FROM merged WHERE coverage >= {licenses.COVER} AND words <= greatest({k + 1}, {licenses.STRETCH} * (size + {k - 1}))),
+    bands AS (SELECT a.doc_id, a.template, a.label, count(DISTINCT v.tpos) / a.size AS coverage
+              FROM (SELECT DISTINCT doc_id, template, label, size, diagonal FROM votes) a JOIN votes v ON a.doc_id = v.doc_id AND a.template = v.template
+                AND v.diagonal - a.diagonal BETWEEN 0 AND greatest(1, floor({licenses.STRETCH - 1} * (a.size + {k - 1})))
+              GROUP BY a.doc_id, a.template, a.label, a.size, a.diagonal),
+    spans AS (SELECT * FROM bands WHERE coverage >= {licenses.COVER}),
     base AS ({base}),
     b AS (SELECT doc_id, count(*) AS n, min(i) AS first, max(i) AS last, list(DISTINCT label) AS labels FROM base GROUP BY doc_id),
     s AS (SELECT doc_id, max(coverage) AS best, list(DISTINCT label) AS labels FROM spans GROUP BY doc_id)

@@ -278,6 +278,55 @@ def test_license_spans(spark):
     assert (1, 50, 50 + size - 1) in spans and (6, 0, size - 1) in spans
 
 
+def brute_bands(words, template):
+    """The best share of a template's grams that hits within a band of diagonals cover."""
+    t = brute_words(template)
+    size, places, votes = len(t) - 2, {}, {}
+    for i in range(len(words) - 2):
+        places.setdefault(tuple(words[i : i + 3]), []).append(i)
+    for j in range(size):
+        for i in places.get(tuple(t[j : j + 3]), ()):
+            votes.setdefault(i - j, set()).add(j)
+    width = max(1, int((licenses.STRETCH - 1) * len(t)))
+    return max((len(set().union(*(votes.get(d, ()) for d in range(a, a + width + 1)))) / size for a in votes), default=0)
+
+
+def test_repeated_notices(spark):
+    r, rows, copies = random.Random(4), [], []
+    for n, (_, text) in enumerate(licenses.TEMPLATES):
+        for k in (1, 2, 50):
+            for gap in ("\n", " one two three "):
+                rows.append((len(rows), gap.join([text] * k), None))
+                copies.append((n, k, True))
+        for k in (1, 2, 50):
+            w = text.split()
+            if len(w) > 15:
+                w.insert(len(w) // 2, "indeed")
+                w[-2:-2] = ["quite", "so"]
+            rows.append((len(rows), "\n".join([" ".join(w)] * k), None))
+            copies.append((n, k, False))
+    for _ in range(100):
+        w = [x for _ in range(r.randint(1, 6)) for x in r.choice(licenses.TEMPLATES)[1].split()[r.randint(0, 4) : r.randint(3, 30)] + ["w"] * r.randint(0, 3)]
+        rows.append((len(rows), " ".join(w), None))
+    got = {x["doc_id"]: x for x in licenses.report(table(spark, rows)).collect()}
+    split = table(spark, rows).select("doc_id", licenses.words(queries.F.col("text")).alias("words"))
+    found = Counter((x["doc_id"], x["template"]) for x in licenses.spans(split, ["doc_id"]).collect())
+    for i, text, _ in rows:
+        words = brute_words(text)
+        covered = [(label, brute_bands(words, t)) for label, t in licenses.TEMPLATES]
+        labels = {label for label, c in covered if c >= licenses.COVER} | set(filter(None, got[i]["base_labels"].split(",")))
+        best = max([c for _, c in covered if c >= licenses.COVER], default=0)
+        assert set(filter(None, got[i]["labels"].split(","))) == labels and got[i]["score"] == max(best, licenses.PHRASE_SCORE * (got[i]["n_base"] > 0))
+        if i < len(copies):
+            n, k, whole = copies[i]
+            assert licenses.TEMPLATES[n][0] in labels and found[i, n] == k and (got[i]["score"] == 1 or not whole)
+
+
+def test_own_templates(spark):
+    docs = table(spark, [(1, "a b c d e f", None), (2, None, None)]).select("doc_id", licenses.words(queries.F.col("text")).alias("words"))
+    assert [(x["doc_id"], x["label"], x["first"], x["last"]) for x in licenses.spans(docs, ["doc_id"], [("own", "b c d e")]).collect()] == [(1, "own", 1, 4)]
+
+
 def test_empty_tables(spark):
     none = table(spark, EDGES).limit(0)
     assert secrets.report(none).count() == licenses.report(none).count() == langid.predict(none, langid.fit(none), ["doc_id"]).count() == 0
