@@ -1,10 +1,16 @@
-"""Columns of a caller's table that have names an operator needs for itself."""
+"""Helpers for columns: values worked out once, and a caller's columns that have names an operator needs for itself."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where the value is worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def set_aside(docs: DataFrame, reserved: set[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:

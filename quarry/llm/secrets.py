@@ -22,11 +22,12 @@ equal results; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.columns import let
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # 18 characters in all; a shorter run has no longer one inside
 HEX = r"[0-9a-f]{16,}"
@@ -37,11 +38,6 @@ THRESHOLDS = {"hex": 3.0, "base64": 3.7}  # bits; a window of 20 has at most 4 a
 GAIN = [0.0, *[(n + 1) * math.log2(n + 1) - n * math.log2(n) for n in range(1, WINDOW + 1)]]  # what c * log2 c gains from n to n + 1
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), where the value is worked out once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def add_spans(df: DataFrame, name: str, pattern: str) -> DataFrame:
     """Adds `name`, an array of (start, end, found) for the pattern's leftmost non-overlapping matches in `text`."""
     m, steps = f"{name}_m", f"{name}_s"

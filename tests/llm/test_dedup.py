@@ -64,11 +64,46 @@ def test_exact_with_collisions(spark, key_bits, capacity):
     assert left.columns == docs.columns
 
 
-def test_directory_doubles_and_splits_only_overfull_buckets():
-    depths = exact_dedup.grow_directory({0: 5, 1: 1, 2: 1, 3: 1}, 2, 2)
-    assert depths == [2, 2, 1, 1]
-    assert exact_dedup.grow_directory({0: 100}, 2, 2) == [2, 2, 1, 1]
-    assert exact_dedup.grow_directory({}, 2, 2) == [0]
+def test_only_overfull_buckets_split():
+    assert exact_dedup.split({0: 5, 1: 1, 2: 1, 3: 1}, 2, 2) == [(0, 2, 5), (1, 2, 1), (2, 1, 2)]
+    assert exact_dedup.split({0: 100}, 2, 2) == [(0, 2, 100), (1, 2, 0), (2, 1, 0)]
+    assert exact_dedup.split({}, 2, 2) == [(0, 0, 0)]
+
+
+@pytest.mark.parametrize("key_bits, capacity, entries, n", [(16, 2, 16, 300), (4, 2, 1 << 14, 300), (4, 2, 2, 300), (64, 3, 1 << 14, 40), (1, 1, 2, 5), (64, 400, 4, 300)])
+def test_directory(spark, monkeypatch, key_bits, capacity, entries, n):
+    """Each key lies in one bucket, buckets are ranges of the hash in order, and none is overfull whose bits aren't used up."""
+    monkeypatch.setattr(exact_dedup, "PAGE_ENTRIES", entries)
+    r = random.Random(key_bits * capacity)
+    hashes = {r.getrandbits(64) >> (64 - key_bits) for _ in range(n)} | ({7, 6, 5, 4} if key_bits > 4 else set())  # four that agree on all but two bits
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    keys = spark.createDataFrame([(signed(h),) for h in hashes], "h long")
+    tree = exact_dedup.grow(keys, key_bits, capacity)
+    at = {x["h"] & (1 << 64) - 1: x["b"] for x in keys.select("h", tree.bucket(exact_dedup.F.col("h")).alias("b")).collect()}
+    in_order = [at[h] for h in sorted(hashes)]
+    assert in_order == sorted(in_order)
+    own = Counter(at.values())
+    assert [own[b] for b in range(len(tree.sizes))] == tree.sizes and sum(tree.sizes) == len(hashes)
+    for h in hashes:
+        depth = tree.depths[at[h]]
+        assert {at[o] for o in hashes if o >> (key_bits - depth) == h >> (key_bits - depth)} == {at[h]}
+        assert own[at[h]] <= capacity or depth == key_bits
+        if depth:  # it split for need: with its buddy it would be overfull
+            assert sum(o >> (key_bits - depth + 1) == h >> (key_bits - depth + 1) for o in hashes) > capacity
+
+
+@pytest.mark.parametrize("key_bits, owners", [(64, 5), (4, 3), (4, 1)])
+def test_buckets_have_one_owner_and_chains_all_their_texts(spark, key_bits, owners):
+    r = random.Random(2)
+    rows = [(i, f"text {r.randrange(90)}") for i in range(400)] + [(1000 + i, "hot") for i in range(400)]
+    index = exact_dedup.ExtendibleIndex(table(spark, rows), key_bits=key_bits, capacity=2, owners=owners, hot_rows=20)
+    entries = index.entries.collect()
+    assert Counter(x["text_sha256"] for x in entries) == Counter({hashlib.sha256(t.encode()).hexdigest(): 1 for _, t in rows})
+    owner, chain = {}, Counter(x["h"] for x in entries)
+    for x in entries:
+        assert owner.setdefault(x["bucket"], x["owner"]) == x["owner"] and x["chain"] == chain[x["h"]] and (x["text"] is not None) == (x["chain"] > 1)
+    in_order = [owner[b] for b in sorted(owner)]
+    assert in_order == sorted(in_order) and max(owner.values()) < owners
 
 
 def brute_fingerprint(text):
