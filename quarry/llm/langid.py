@@ -10,8 +10,13 @@ is rejected if its cross-entropy lies more than REJECT_Z standard deviations abo
 where the deviation is that of the language whose texts vary most and allows for the text's length, and if it is also
 above what texts of the nearest other language have under this one's model, so that texts in two languages stay.
 
-Fitting takes a bounded sample (TRAIN_DOCS texts a language in expectation, MAX_DOCS in all, of at most TRAIN_BYTES
-each) drawn by a hash of doc_id; every whole text is predicted. Texts are scored in runs of RUN characters.
+The score is the share of the winner's likelihood in the sum over all languages, as if the text had its cross-entropies
+and at most CERTAIN symbols; without that bound every longer text would score 1.
+
+Fitting takes a bounded sample: texts are cut into even pieces of up to PIECE bytes, and TRAIN_PIECES pieces a language in
+expectation (MAX_PIECES in all) are drawn by a hash of doc_id and the piece's number, so that every part of every text,
+however long, can be drawn. Every whole text is predicted. Texts are scored in runs of RUN characters, each of which starts
+from the symbols before it, so that runs add up to what one run gives.
 
 Defined results: a null text, or one without letters, is `und` with score 0 and is rejected; without labelled rows
 every text is `und`; a null doc_id is not held out and not learned from; repeated rows get equal results; ties go to
@@ -32,9 +37,10 @@ from quarry.llm.columns import set_aside
 from quarry.llm.scratch import small_batches
 
 ORDER = 4
-TRAIN_DOCS, MAX_DOCS, TRAIN_BYTES = 400, 20_000, 20_000
+TRAIN_PIECES, MAX_PIECES, PIECE = 400, 20_000, 4096
 REJECT_Z = 8.0
 RUN = 1 << 16
+CERTAIN = 50
 ALPHABET = 4096  # size of the uniform distribution below order 1
 STEP = np.uint64(0x9E3779B97F4A7C15)
 SPACE = 32
@@ -48,12 +54,13 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
-def symbols(text: str) -> np.ndarray:
-    """Lower-case letters as code points, with one space for each run of others."""
-    x = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+def symbols(text: str, after_letter: bool = False) -> np.ndarray:
+    """Letters of a lower-cased text as code points, with one space for each run of others; after_letter: whether a letter stands before it."""
+    x = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     is_letter = letters()[x]
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]
+    keep[:1] |= after_letter
     return np.where(is_letter, x, SPACE)[keep]
 
 
@@ -66,10 +73,13 @@ def hashes(x: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All parts after ORDER spaces each, and which places hold their symbols."""
-    pad = np.full(ORDER, SPACE, np.uint32)
-    x = np.concatenate([a for p in parts for a in (pad, p)]) if parts else pad
+START = np.full(ORDER, SPACE, np.uint32)  # what stands before a text
+
+
+def padded(parts: list[np.ndarray], before: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All parts, each after the ORDER symbols before it, and which places hold the parts' own."""
+    before = before or [START] * len(parts)
+    x = np.concatenate([a for b, p in zip(before, parts) for a in (b, p)]) if parts else START
     event = np.concatenate([a for p in parts for a in (np.zeros(ORDER, bool), np.ones(len(p), bool))]) if parts else np.zeros(ORDER, bool)
     return x, event
 
@@ -112,7 +122,7 @@ class Models:
         self.langs, self.order = sorted(texts), order
         fit, held = {}, {}
         for lang in self.langs:
-            parts = [p for p in map(symbols, texts[lang]) if len(p)]
+            parts = [p for p in (symbols(t.lower()) for t in texts[lang]) if len(p)]
             held[lang] = parts[::5] if len(parts) >= 10 else parts
             fit[lang] = [p for i, p in enumerate(parts) if i % 5] if len(parts) >= 10 else parts
         tables = [counted(*padded(fit[lang]), order) for lang in self.langs]
@@ -182,24 +192,28 @@ class Models:
     def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of each text, and minus their log2 probability under each language."""
         size, cost = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.langs)))
-        parts, owner, held = [], [], 0
+        parts, before, owner, held = [], [], [], 0
 
         def flush() -> None:
-            nonlocal parts, owner, held
+            nonlocal parts, before, owner, held
             if parts:
                 starts = np.cumsum([0, *map(len, parts[:-1])])
-                got = -np.add.reduceat(self.log_probability(*padded(parts)), starts, axis=0, dtype=np.float64)
+                got = -np.add.reduceat(self.log_probability(*padded(parts, before)), starts, axis=0, dtype=np.float64)
                 np.add.at(cost, owner, got)
-            parts, owner, held = [], [], 0
+            parts, before, owner, held = [], [], [], 0
 
         for i, text in enumerate(texts):
-            for at in range(0, len(text or ""), RUN):
-                x = symbols(text[at : at + RUN])
+            line, last, after_letter = (text or "").lower(), START, False
+            for at in range(0, len(line), RUN):
+                x = symbols(line[at : at + RUN], after_letter)
+                after_letter = line[min(at + RUN, len(line)) - 1].isalpha()
                 if len(x):
                     size[i] += len(x)
                     parts.append(x)
+                    before.append(last)
                     owner.append(i)
                     held += len(x)
+                    last = np.concatenate((last, x))[-ORDER:]
                     if held >= RUN:
                         flush()
         flush()
@@ -214,7 +228,7 @@ class Models:
         entropy = cost / np.maximum(size, 1)[:, None]
         best = entropy.argmin(axis=1)
         least = entropy[np.arange(n), best]
-        score = 1 / np.exp2(-(entropy - least[:, None]) * np.minimum(size, 50)[:, None]).sum(axis=1)
+        score = 1 / np.exp2(-(entropy - least[:, None]) * np.minimum(size, CERTAIN)[:, None]).sum(axis=1)
         limit = np.maximum(self.foreign[best], self.mean[best] + REJECT_Z * np.sqrt(self.spread[best] + self.each[best] / np.maximum(size, 1)))
         blank = size == 0
         return ["und" if b else self.langs[i] for i, b in zip(best, blank)], np.where(blank, 0, score), np.where(blank, np.nan, least), blank | (least > limit)
@@ -224,20 +238,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, max_docs: int = MAX_DOCS, train_bytes: int = TRAIN_BYTES) -> Models:
+def fit(docs: DataFrame, train_pieces: int = TRAIN_PIECES, max_pieces: int = MAX_PIECES, piece: int = PIECE) -> Models:
     """Models from a sample of the labelled documents that are not held out; its expected size is bounded by the parameters."""
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    pieces = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / piece)).cast("int")
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text", pieces.alias("n"))
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not counts:
         return Models({})
-    each = min(train_docs, max(1, max_docs // len(counts)))
-    draw = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1 << 30))
+    each = min(train_pieces, max(1, max_pieces // len(counts)))
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1 << 30, (each << 30) // n + 1))])
-    sample = labelled.filter((draw < F.element_at(share, F.col("lang"))) & (F.octet_length("text") <= train_bytes)).select("doc_id", "lang", "text").collect()
+    drawn = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id"), i), F.lit(1 << 30)) < F.element_at(share, F.col("lang")))
+    edge = lambda i: F.floor(F.length("text") * i.cast("long") / F.col("n")).cast("int")
+    sample = labelled.select("doc_id", "lang", F.explode(F.transform(drawn, lambda i: F.struct(i.alias("i"), F.substring("text", edge(i) + 1, edge(i + 1) - edge(i)).alias("text")))).alias("piece")).select("doc_id", "lang", "piece.*").collect()
     texts: dict[str, list[str]] = {lang: [] for lang in counts}
-    for r in sorted(sample, key=lambda r: (r["doc_id"], r["text"])):
-        texts[r["lang"]].append(r["text"])
-    return Models({lang: found for lang, found in texts.items() if any(len(symbols(t)) for t in found)})
+    for r in sorted(sample, key=lambda r: (r["doc_id"], r["i"], r["text"] or "")):
+        texts[r["lang"]].append(r["text"] or "")
+    return Models({lang: found for lang, found in texts.items() if any(len(symbols(t.lower())) for t in found)})
 
 
 def predict(docs: DataFrame, models: Models, keep: list[str]) -> DataFrame:

@@ -109,7 +109,7 @@ def test_kneser_ney_equals_the_recursion():
     for j, lang in enumerate(models.langs):
         p = brute_kneser_ney([t.lower() for t in texts[lang]], 4, langid.ALPHABET)
         for probe in ("the zebra", "zeit q", "x"):
-            x, event = langid.padded([langid.symbols(probe)])
+            x, event = langid.padded([langid.symbols(probe.lower())])
             got = models.log_probability(x, event)[:, j]
             line = " " * 4 + probe
             want = [math.log2(p(line[i], line[i - 3 : i])) for i in range(4, len(line))]
@@ -158,10 +158,24 @@ def test_rejection(spark):
 
 def test_runs_of_a_long_text_add_up(monkeypatch):
     models = langid.Models({"en": ["the cat sat on the mat"] * 12, "de": ["der hund und die katze"] * 12})
-    whole, _ = models.sums(["the cat " * 1000, "der"])
-    monkeypatch.setattr(langid, "RUN", 64)
-    parts, _ = models.sums(["the cat " * 1000, "der"])
-    assert whole.tolist() == parts.tolist()
+    r = random.Random(1)
+    texts = ["the cat " * 1000, "der", " 12, a. " * 90, None, "".join(r.choice(["the", " ", "..", "é", "katze", "1 "]) for _ in range(5000))]
+    size, cost = models.sums(texts)
+    score = models.predict(texts)[1]
+    for run in (64, 7, 1):
+        monkeypatch.setattr(langid, "RUN", run)
+        sizes, costs = models.sums(texts)
+        assert sizes.tolist() == size.tolist() and np.allclose(costs, cost, rtol=1e-12) and np.allclose(models.predict(texts)[1], score, rtol=1e-9)
+
+
+def test_languages_of_long_texts_are_learned(spark):
+    r = random.Random(6)
+    say = lambda words, n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(i, say(["the", "cat", "sat", "on", "mat"], 40), "en") for i in range(40)] + [(100 + i, say(["der", "hund", "ünd", "zwei"], 30_000), "de") for i in range(8)]
+    docs = table(spark, rows)
+    models = langid.fit(docs, train_pieces=60)
+    assert models.langs == ["de", "en"]
+    assert models.predict(["der hund ünd zwei", "the cat sat on"])[0] == ["de", "en"]
 
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
