@@ -282,20 +282,25 @@ def in_one_task(docs, group):
         rows = pa.Table.from_batches(batches)
         return rows.take(pc.sort_indices(rows, [(k, "ascending") for k in keys])).combine_chunks().to_batches(max_chunksize=37)
 
-    texts = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs], pa.int64()), pa.array([t for _, t in docs], pa.binary())], ["doc", "text"])
+    texts = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs], pa.int64()), pa.array([0] * len(docs), pa.int64()), pa.array([t for _, t in docs], pa.binary())], ["doc", "variant", "text"])
     found = list(suffix_dedup.sort_out(ordered(list(suffix_dedup.gather([texts])), "key", "key2", "doc"), group))
     asked = {}
     for row in pa.Table.from_batches(found).to_pylist():
         if row["kind"] != suffix_dedup.SPAN:
-            asked.setdefault(row["doc"], ([], []))[row["kind"] - 1].append({"key": row["key"], "place": row["place"]} if row["kind"] == suffix_dedup.CONTEXT else row["place"])
-    fetched = [(d, t, *asked[d]) for d, t in docs if d in asked]
-    kinds = [pa.int64(), pa.binary(), pa.list_(pa.struct([("key", pa.int64()), ("place", pa.int64())])), pa.list_(pa.int64())]
-    late = []
+            asked.setdefault(row["doc"], []).append({k: row[k] for k in ("kind", "key", "key2", "place", "more")})
+    fetched = [(d, 0, t, asked[d]) for d, t in docs if d in asked]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("kind", pa.int32()), *((k, pa.int64()) for k in ("key", "key2", "place", "more"))]))]
+    rounds = 0
     if fetched:
-        batch = pa.RecordBatch.from_arrays([pa.array([f[i] for f in fetched], k) for i, k in enumerate(kinds)], ["doc", "text", "contexts", "crowded"])
-        late = list(suffix_dedup.decide(ordered(list(suffix_dedup.fetch([batch])), "kind", "key", "key2", "doc")))
+        left = list(suffix_dedup.fetch([pa.RecordBatch.from_arrays([pa.array([f[i] for f in fetched], k) for i, k in enumerate(kinds)], ["doc", "variant", "text", "contexts"])]))
+        while sum(b.num_rows for b in left):
+            decided = pa.Table.from_batches(list(suffix_dedup.decide(ordered(left, "key", "key2", "doc"), group)), left[0].schema)
+            found += decided.filter(pc.field("kind") == suffix_dedup.SPAN).to_batches()
+            left = decided.filter(pc.field("kind") == suffix_dedup.CROWDED).to_batches()
+            rounds += 1
+    assert rounds <= 7
     gone = {d: bytearray(len(t)) for d, t in docs}
-    for row in pa.Table.from_batches([*found, *late]).to_pylist():
+    for row in pa.Table.from_batches(found).to_pylist():
         if row["kind"] == suffix_dedup.SPAN:
             gone[row["doc"]][row["key2"] : row["place"]] = b"\1" * (row["place"] - row["key2"])
     return {d: sum(x) for d, x in gone.items()}
@@ -319,6 +324,24 @@ def test_removals_on_edges(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_repeated_ids_of_unlike_texts(spark):
+    r = random.Random(3)
+    p, q = ("".join(r.choice("abcdefgh ") for _ in range(104)) for _ in range(2))
+    got = Counter(tuple(x) for x in suffix_dedup.removals(table(spark, [(1, p), (2, p), (2, q), (2, q + p), (3, q)])).collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == Counter([(1, 104, 0, 0, sha(p)), (2, 104, 104, 1, sha("")), (2, 104, 0, 0, sha(q)), (2, 208, 104, 1, sha(q)), (3, 104, 104, 1, sha(""))])
+
+
+def test_runs_of_one_byte_or_line_are_folded():
+    r = random.Random(7)
+    line = "".join(r.choice("abcdefgh ") for _ in range(60)).encode()
+    docs = [(3, b"a" * 4000), (1, b"b" * 70 + b"a" * 60), (4, line * 50 + b"a" * 300), (2, line * 40), (5, b"ab" * 500), (6, b"xab" + b"ab" * 90 + line[:55])]
+    assert in_one_task(docs, 2048) == {d: x[1] for d, x in brute_removals(docs).items()}
+    big = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0]), pa.array([b"a" * 20_000_000 + b"ab" * 5_000_000], pa.binary())], ["doc", "variant", "text"])
+    found = list(suffix_dedup.gather([big]))
+    assert sum(b.num_rows for b in found) < 1000
+
+
 def test_common_prefix_groups():
     r = random.Random(8)
     for length in (1, 2, 5, 50):
