@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.scratch import Scratch
+
 #: Rows of a stratum that one window group should hold.
 RANGE_ROWS = 4096
 MAX_RANGE_BITS = 20
@@ -40,3 +42,16 @@ def add_rank(rows: DataFrame, by: str, bucket: Column, order: list[Column], rank
     placed = cut.withColumn("place_", F.row_number().over(Window.partitionBy(by, "bucket_").orderBy(*order)))
     joined = placed.join(offsets, (placed[by] == offsets["by_"]) & (placed["bucket_"] == offsets["at_"]))
     return joined.withColumn(rank, F.col("before_") + F.col("place_")).drop("bucket_", "place_", "by_", "at_", "before_")
+
+
+def add_position(rows: DataFrame, order: list[Column], position: str, scratch: Scratch) -> DataFrame:
+    """Adds each row's position (from 1) in an order of all rows: ranges of the order are sorted apart, and counts put one behind the other.
+
+    The ranges are written, so that a range keeps its rows whatever happens to its task."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = scratch.put(rows.repartitionByRange(parts, *order).withColumn("range_", F.spark_partition_id()), position)
+    sizes = ranged.groupBy("range_").agg(F.count(F.lit(1)).alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    offsets = sizes.select(F.col("range_").alias("at_"), before.alias("before_"))
+    placed = ranged.withColumn("place_", F.row_number().over(Window.partitionBy("range_").orderBy(*order)))
+    return placed.join(offsets, placed["range_"] == offsets["at_"]).withColumn(position, F.col("before_") + F.col("place_")).drop("range_", "place_", "at_", "before_")

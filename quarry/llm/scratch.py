@@ -2,13 +2,14 @@
 
 An operator that reads a result twice, or that wants its lineage cut, writes it as Parquet under the
 folder named by ``spark.checkpoint.dir`` and reads it back, so a lost executor costs one task's work and
-never the table. Only where the session names no folder (tests in one process) is a local one made.
+never the table. Only where the session names no folder and runs in one process (tests) is a local one made.
 """
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,6 +21,8 @@ def shared_root(spark: SparkSession) -> str:
     """The cluster's shared folder; set here only if the session has none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("on a cluster spark.checkpoint.dir has to name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -66,12 +69,12 @@ class Scratch:
         self.spark, self.path, self.n = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}", 0
         atexit.register(remove, spark, self.path)
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df, read it back with the same schema."""
+    def put(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Write df, in folders by a column if one is named, and read it back with the same schema."""
         self.n += 1
         at = f"{self.path}/{self.n:03d}-{name}"
         with shuffles_go(self.spark):
-            df.write.parquet(at)
+            (df.write.partitionBy(by) if by else df.write).parquet(at)
         back = self.spark.read.schema(df.schema).parquet(at)
         back.scratch_path = at
         return back
