@@ -1,17 +1,21 @@
 """Exact top-k inner products over norm-sorted vectors with rotated partial sums.
 
-Candidates are read by descending length within a task. Both sides are rotated by the singular vectors of a bounded
-sample (any rotation keeps inner products, a good one gathers them in the first coordinates). While a task has a
-query's k-th score, a run of candidates is skipped if |q| |c| can't reach it; else the partial sum over HEAD
-coordinates plus the Cauchy-Schwarz bound on the rest is compared, and only the survivors get their exact integer
-product. Bounds carry slack for rounding and equal scores survive, so the result is exact.
-
-Queries come in blocks of at most about BLOCK (a stated query set against all rows), each broadcast to a scan of the
-candidates; a task returns at most k rows a query, and a window keeps the best k of those.
+Candidates are written in ranges of descending length over all tasks, and read by descending length within each. Both sides are
+rotated by the singular vectors of a bounded sample (any rotation keeps inner products, a good one gathers them in the
+first coordinates). While a task has a query's k-th score, a run of candidates is skipped if |q| |c| can't reach it; else
+the partial sum over HEAD coordinates plus the Cauchy-Schwarz bound on the rest is compared, and only the survivors
+get their exact integer product. Bounds carry slack for rounding and equal scores survive, so the result is exact.
+
+Queries come in blocks of at most about BLOCK (a stated query set against all rows). A block meets the range of the longest
+candidates first; the k-th scores found there are where all other tasks start from, and ranges whose longest vector can't
+reach them for any query are not read at all. A block's result is written and its broadcast freed before the next one's, so
+plans and memory don't grow with the number of queries. A task returns at most k rows a query, and a window keeps the best
+k of those.
 
 Defined results: vectors that are null, or hold null or non-finite components, and null ids take no part; shorter
-vectors are padded with zeros; rows that share a query's id are not its candidates, and repeated query rows
-count once; ties go to the smaller id; an empty table gives an empty result; other columns are ignored.
+vectors are padded with zeros; rows that share a query's id are not its candidates, repeated query rows
+count once, and those that share an id but not a vector rank together; ties go to the smaller id; scores beyond a long are
+held at its ends; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,8 +53,9 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
 class Best:
     """The k best (score, id) of each query so far."""
 
-    def __init__(self, n: int, k: int):
-        self.k, self.floor = k, np.full(n, -np.inf)
+    def __init__(self, floor: np.ndarray, k: int):
+        """floor: a score that each query's k-th reaches anyway."""
+        n, self.k, self.floor = len(floor), k, floor.copy()
         self.score = [np.zeros(0, np.int64) for _ in range(n)]
         self.id = [np.zeros(0, np.int64) for _ in range(n)]
 
@@ -59,12 +64,20 @@ class Best:
         order = np.lexsort((ids, -score))[: self.k]
         self.score[q], self.id[q] = score[order], ids[order]
         if len(order) == self.k:
-            self.floor[q] = self.score[q][-1]
+            self.floor[q] = max(self.floor[q], self.score[q][-1])
+
+
+def products(vectors: np.ndarray, query: np.ndarray, safe: bool) -> np.ndarray:
+    """Exact inner products; where they might not fit a long, those that don't are held at its ends."""
+    if safe:
+        return vectors @ query
+    exact = vectors.astype(object) @ query.astype(object)
+    return np.array([min(max(int(x), -(1 << 63)), (1 << 63) - 1) for x in exact], np.int64)
 
 
-def scan(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray, turn: np.ndarray, k: int) -> Best:
+def scan(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray, turn: np.ndarray, k: int, floor: np.ndarray) -> Best:
     """The best k of each query among candidates that come by descending length."""
-    width, best = queries.shape[1], Best(len(ids), k)
+    width, best = queries.shape[1], Best(floor, k)
     head = min(HEAD, width)
     rotated = queries @ turn
     q_all, q_rest = np.linalg.norm(rotated, axis=1), np.linalg.norm(rotated[:, head:], axis=1)
@@ -74,8 +87,9 @@ def scan(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray
         c_all, c_rest = np.linalg.norm(spun, axis=1), np.linalg.norm(spun[:, head:], axis=1)
         for at in range(0, len(own), RUN):
             part = slice(at, at + RUN)
-            slack = 1 + 1e-9 * q_all * c_all[at]
-            active = np.flatnonzero(q_all * c_all[at] + slack >= best.floor)
+            longest = c_all[part].max()
+            slack = 1 + 1e-9 * q_all * longest
+            active = np.flatnonzero(q_all * longest + slack >= best.floor)
             for some in np.array_split(active, max(1, len(active) // 64)):
                 if not len(some):
                     continue
@@ -84,7 +98,7 @@ def scan(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray
                 for q, near in zip(some, hit):
                     where = np.flatnonzero(near) + at
                     if len(where):
-                        best.add(q, vectors[where] @ queries[q], own[where])
+                        best.add(q, products(vectors[where], queries[q], q_all[q] * longest < 1 << 62), own[where])
     return best
 
 
@@ -101,24 +115,44 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     seen = matrix(sample.column(0).combine_chunks(), width).astype(float) if sample.num_rows else np.zeros((1, width))
     turn = np.linalg.svd(seen.T @ seen)[0]
     queries = rows.filter(F.col("vec_id") % every == 0).select("vec_id", "v").distinct()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = scratch.put(rows.repartitionByRange(parts, F.desc("length"), "vec_id").withColumn("range_", F.spark_partition_id()), "ranges", by="range_")
+    longest = dict(sorted(ranged.groupBy("range_").agg(F.sqrt(F.max("length"))).collect()))  # one row a range
+    candidates = ranged.sortWithinPartitions(F.desc("length")).select("vec_id", "v", "range_")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     blocks, found = max(1, -(-asked // BLOCK)), []
-    candidates = rows.sortWithinPartitions(F.desc("length")).select("vec_id", "v")
     for block in range(blocks):
         got = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toArrow()
-        if got.num_rows or not block:
-            ids = got.column(0).to_numpy()
-            sent = spark.sparkContext.broadcast((ids, matrix(got.column(1).combine_chunks(), width) if got.num_rows else np.zeros((0, width), np.int64)))
-
-            def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                ids, asked = sent.value
-                best = scan(batches, ids, asked, turn, k)
+        if not got.num_rows and (block or found):
+            continue
+        ids = got.column(0).to_numpy()
+        asked_for = matrix(got.column(1).combine_chunks(), width) if got.num_rows else np.zeros((0, width), np.int64)
+
+        def best(of: DataFrame, floor: np.ndarray, name: str, ids=ids, asked_for=asked_for) -> DataFrame:
+            """The k best of each query among some ranges, written."""
+            sent = spark.sparkContext.broadcast((ids, asked_for, floor))
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                ids, asked_for, floor = sent.value
+                best = scan(batches, ids, asked_for, turn, k, floor)
                 counts = [len(x) for x in best.id]
                 if sum(counts):
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(np.concatenate(best.id)), pa.array(np.concatenate(best.score))], ["query_id", "vec_id", "score"])
 
-            found.append(candidates.mapInArrow(run, "query_id long, vec_id long, score long"))
-    every_task = found[0]
-    for more in found[1:]:
-        every_task = every_task.unionByName(more)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return every_task.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            tasks = of.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score long")
+            told = scratch.put(tasks.withColumn("rank", rank).filter(F.col("rank") <= k), name)
+            sent.destroy()
+            return told
+
+        head, rest = next(iter(longest), 0), list(longest)[1:]
+        told = best(candidates.filter(F.col("range_") == head), np.full(len(ids), -np.inf), "head")
+        if rest and len(ids):
+            kth = dict(told.filter(F.col("rank") == k).select("query_id", "score").collect())  # a row a query of the block
+            floor = np.array([kth.get(i, -np.inf) for i in ids.tolist()], float)
+            size = np.linalg.norm(asked_for.astype(float), axis=1)
+            wanted = [r for r in rest if (size * longest[r] * (1 + 1e-9) + 1 >= floor).any()]
+            if wanted:
+                more = best(candidates.filter(F.col("range_").isin(wanted)), floor, "rest")
+                told = scratch.put(told.unionByName(more).withColumn("rank", rank).filter(F.col("rank") <= k), "block")
+        found.append(told.scratch_path)
+    return spark.read.schema("query_id long, vec_id long, score long, rank int").parquet(*found).select("query_id", "rank", "vec_id", "score")

@@ -10,6 +10,7 @@ import pytest
 
 import corpus_pipeline
 from quarry.llm import exact_dedup, langid, mixing, queries, ranks, sharding, simhash, topk
+from quarry.llm.scratch import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, slot_ int, score_ int"  # the last columns clash with operators' own names
 
@@ -53,6 +54,17 @@ def test_shards(spark, monkeypatch, range_rows):
         assert max(own[k] for k in range(24)) - min(own[k] for k in range(24)) <= 4
 
 
+def test_sources_of_one_row_spread_over_ranges(spark):
+    rows = [(i, "text", f"https://{i}") for i in range(2000)]
+    scratch = Scratch(spark, "test")
+    docs = table(spark, rows).withColumn("fraction", sharding.F.lit(0.5))
+    placed = ranks.add_position(docs, [sharding.F.col("fraction"), sharding.F.col("source")], "pos", scratch)
+    assert [x["source"] for x in placed.orderBy("pos").collect()] == sorted(x[2] for x in rows)
+    ranges = spark.read.parquet(f"{scratch.path}/001-pos").groupBy("range_").count().collect()
+    assert len(ranges) == 4 and max(x["count"] for x in ranges) < 1000
+    assert Counter(x["shard"] for x in sharding.shards(table(spark, rows)).collect()).most_common()[0][1] <= 84
+
+
 def test_few_and_no_rows_in_shards(spark):
     few = sharding.shards(table(spark, [(1, "a", "s"), (2, None, None)])).collect()
     assert sorted((x["size"], x["slot"]) for x in few) == [(8, 0), (9, 0)]
@@ -121,6 +133,31 @@ def test_top_k(spark, monkeypatch, block):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_ranges_that_cannot_reach_are_not_read(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 3)
+    read = []
+    own = topk.Scratch.put
+    monkeypatch.setattr(topk.Scratch, "put", lambda self, df, name, by=None: read.append(name) or own(self, df, name, by))
+    r = np.random.default_rng(2)
+    rows = [(i, (r.normal(size=8) * (100 if i % 10 == 0 else 0.01)).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = set()
+    vectors = {i: [int(np.floor(1024 * c)) for c in v] for i, v in rows}
+    for i in range(0, 200, 20):
+        scores = sorted((-sum(a * b for a, b in zip(vectors[i], v)), j) for j, v in vectors.items() if j != i)
+        want |= {(i, n, j, -s) for n, (s, j) in enumerate(scores[:2], 1)}
+    assert {tuple(x) for x in topk.top_k(df, every=20, k=2).collect()} == want
+    assert read.count("head") >= 3
+    flat = spark.createDataFrame([(i, [1.0 if i < 40 else 1e-3]) for i in range(100)], "vec_id long, embedding array<double>")
+    read.clear()
+    assert topk.top_k(flat, every=50, k=3).count() == 6 and "rest" in read
+
+
+def test_scores_beyond_a_long(spark):
+    df = spark.createDataFrame([(0, [1e9, 1e9]), (7, [1e9, 2e9]), (8, [-1e9, -1e9])], "vec_id long, embedding array<double>")
+    assert [tuple(x) for x in topk.top_k(df).orderBy("rank").collect()] == [(0, 1, 7, 2**63 - 1), (0, 2, 8, -(2**63))]
+
+
 def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (7, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(x) for x in topk.top_k(df).collect()] == [(0, 1, 7, 1024 * 2048)]
