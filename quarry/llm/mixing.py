@@ -11,6 +11,8 @@ A source that has run out leaves its slots idle and the others keep their times,
 source until its own end, and no document is dropped or repeated: those of a source with more than its share
 come last, at their source's own rate.
 
+Rows without a doc_id share one place in their source's order, so a source in which all lack it is ranked in one task.
+
 Defined results: sources that no weight names, and null, share the stratum `rest`; a source's last block may be
 short; the order within a source is seeded by doc_id, rows that repeat a doc_id stand together; an empty table
 gives an empty result.
@@ -76,3 +78,12 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """All rows with the columns of docs, in the order of the mix."""
     safe, named = set_aside(docs, OWN)
     return named(add_slots(safe, **options).repartitionByRange("slot_").sortWithinPartitions("slot_", "in_block_").select(*safe.columns))
+
+
+def with_positions(docs: DataFrame, keep: tuple[str, ...], **options) -> DataFrame:
+    """The columns in keep, text, and mix_slot and mix_place: where a row stands in the mix. It depends on the set of rows only, so
+    rows that mixed() gave and that were written and read since get the places they had."""
+    safe, _ = set_aside(docs, OWN)
+    names = dict(zip(docs.columns, safe.columns))
+    placed = add_slots(safe, **options)
+    return placed.select(*[F.col(names[c]).alias(c) for c in (*keep, "text")], F.col("slot_").alias("mix_slot"), F.col("in_block_").alias("mix_place"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from quarry.llm import exact_dedup, langid, mixing, queries, ranks, sharding, simhash, topk
+from quarry.llm import exact_dedup, langid, mixing, queries, ranks, sharding, topk
 from quarry.llm.scratch import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, slot_ int, score_ int"  # the last columns clash with operators' own names
@@ -163,31 +163,111 @@ def test_few_candidates(spark):
     assert [tuple(x) for x in topk.top_k(df).collect()] == [(0, 1, 7, 1024 * 2048)]
 
 
-def test_pipeline_against_its_parts(spark):
+def brute_mix(rows, parts, block_rows=32):
+    """doc_id -> (slot, place): block after block by the earliest deadline among what is released, slot by slot."""
+    queues = brute_ranks([(i, None, s) for i, s in rows], "mix", lambda s: s if s in parts and s != "rest" else "rest")
+    period, out, slot = sum(parts.values()), {}, 0
+    given = dict.fromkeys(parts, 0)
+    while len(out) < len(rows):
+        due = []
+        for s, w in parts.items():
+            if given[s] * period // w <= slot:  # released: block n + 1 may start at n / rate
+                due.append((-(-(given[s] + 1) * period // w), s))
+        s = min(due)[1]
+        for place, (_, row) in enumerate(queues.get(s, [])[given[s] * block_rows : (given[s] + 1) * block_rows]):
+            out[row[0]] = (slot, place)
+        given[s] += 1
+        slot += 1
+    return out
+
+
+def near_components(texts):
+    """doc_id -> smallest doc_id reachable over five-word Jaccard 0.8 or more."""
+    sets = {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+    holders = defaultdict(list)
+    for i, x in sets.items():
+        for g in x:
+            holders[g].append(i)
+    common = Counter((a, b) for ids in holders.values() for a in ids for b in ids if a < b)
+    label = {i: i for i in texts}
+    links = [(a, b) for (a, b), n in common.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(label[a], label[b])
+            changed |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    return label
+
+
+def tokenizer():
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks_ = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks_, special_tokens={})
+
+
+def expected_output(texts, sources, parts):
+    """What the last four stages leave of texts (doc_id -> text), by brute force."""
+    last = {}
+    for i in sorted(texts):
+        last[texts[i]] = i
+    left = {i: t for t, i in last.items()}
+    label = near_components(left)
+    left = {i: t for i, t in left.items() if label[i] == i}
+    places, encoder, out = brute_mix([(i, sources[i]) for i in left], parts), tokenizer(), {}
+    for i, t in left.items():
+        ids = encoder.encode_ordinary(t)
+        out[i] = (*places[i], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest(), np.array(ids, "<u4").tobytes())
+    return out
+
+
+def told(row):
+    return (row["mix_slot"], row["mix_place"], row["n_tokens"], row["ids_sha256"], row["decoded_sha256"], bytes(row["token_ids"]))
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Languages that differ plainly, and texts in neither; copies, near copies and sources of every weight."""
+    r = random.Random(21)
+    letters = [(c, v, d) for c in "thswr" for v in "aeo" for d in "bdl"]
+    words = {"en": [c + v + d + v for c, v, d in letters], "de": [v + d + c for c, v, d in letters]}
+    rows = []
+    for i in range(700):
+        lang = r.choice(["en", "de"])
+        rows.append((i, " ".join(r.choice(words[lang]) for _ in range(r.randint(20, 90))), lang if r.random() < 0.8 else None, r.choice(["src0"] * 4 + [f"src{k}" for k in range(1, 20)] + ["other", None])))
+    for i in range(700, 760):
+        rows.append((i, r.choice(rows[:700])[1], None, "src1"))
+    for i in range(760, 820):
+        w = r.choice(rows[:700])[1].split()
+        w[r.randrange(len(w))] = "lala"
+        rows.append((i, " ".join(w), None, "src2"))
+    odd = [(900, "xqxq jxjx " * 30, None, "src0"), (901, None, None, "src0"), (902, "12 !!", None, None), (903, "ЖЩЮЯ ЪЫЭ " * 30, None, "src3")]
+    spark.createDataFrame([(*x, 1) for x in rows + odd], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = expected_output({x[0]: x[1] for x in rows}, {x[0]: x[3] for x in rows}, mixing.TARGETS)
+    assert {x["doc_id"] for x in got} == set(want)
+    assert Counter(told(x)[k] == want[x["doc_id"]][k] for x in got for k in (0, 1)) == Counter({True: 2 * len(want)})
+    assert {x["doc_id"]: told(x) for x in got} == want and len(got) == len(want) < len(rows)
+
+
+def test_pipeline_on_given_documents(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = {x["doc_id"]: x for x in docs.collect()}
     models = langid.fit(docs)
     ids = sorted(rows)
     _, _, _, rejected = models.predict([rows[i]["text"] for i in ids])
-    left = [i for i, gone in zip(ids, rejected) if not gone]
-    last = {}
-    for i in left:
-        last[rows[i]["text"]] = max(i, last.get(rows[i]["text"], i))
-    left = sorted(last.values())
-    prints = {i: simhash.fingerprint(rows[i]["text"].encode()) for i in left}
-    label = {i: i for i in left}
-    while True:
-        new = {a: min(label[b] for b in left if (prints[a] ^ prints[b]).bit_count() <= 3) for a in left}
-        if new == label:
-            break
-        label = new
-    want = {i for i in left if label[i] == i}
+    left = {i: rows[i]["text"] for i, gone in zip(ids, rejected) if not gone}
     got = corpus_pipeline.run(spark, sf).collect()
-    assert {x["doc_id"] for x in got} == want and len(got) == len(want)
-    for x in got:
-        assert x["decoded_sha256"] == hashlib.sha256(rows[x["doc_id"]]["text"].encode()).hexdigest()
-        assert len(x["token_ids"]) == 4 * x["n_tokens"]
+    assert {x["doc_id"]: told(x) for x in got} == expected_output(left, {i: x["source"] for i, x in rows.items()}, mixing.TARGETS)
 
 
 def test_stages_on_edges(spark):
