@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import catalogs, ingest, scores, tags, telemetry, upsert
-from quarry.operators.search import Unique, browse, matching, one_each, random_sample, search, total_and_page
-from quarry.sources.bulk import CARD_SCHEMA
+from quarry.operators.lineage import new_folder
+from quarry.operators.search import Prefer, Unique, browse, matching, one_each, random_sample, search, total_and_page
+from quarry.sources.bulk import CARD_SCHEMA, read_dump
+from quarry.sources.paged import read_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +27,14 @@ def listed(*cases: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in cases]))
 
 
+def named_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts; those of size 7 go by the last word of their name."""
+    return table(spark, sf_dir, "part").withColumn("p_name", F.when(F.col("p_size") == 7, F.substring_index("p_name", " ", -1)).otherwise(F.col("p_name")))
+
+
 def editions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a line item, with every column of the search language."""
-    p, li, s = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
+    p, li, s = named_parts(spark, sf_dir), table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
     rows = li.join(p, li["l_partkey"] == p["p_partkey"]).join(s, li["l_suppkey"] == s["s_suppkey"])
     name, size, kind, key = F.col("p_name"), F.col("p_size"), F.col("p_type"), F.col("p_partkey")
     creature = kind.isin("PROMO", "STANDARD", "ECONOMY")
@@ -42,7 +49,7 @@ def editions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("illustration_id"),
         name.alias("card_name"),
         F.lower(name).alias("card_name_folded"),
-        F.concat(F.lit("When "), name, F.lit(" enters, draw a "), F.lower(kind), F.lit(" card.")).alias("oracle_text"),
+        F.concat(F.lit("When "), name, F.lit(" enters, draw a "), F.lower(kind), F.lit(" card."), F.when(size % 10 == 0, " 100% of the time.").when(size % 10 == 1, " 100 a_d.").otherwise("")).alias("oracle_text"),
         F.col("p_brand").alias("flavor_text"),
         F.col("s_name").alias("card_artist"),
         listed((kind == "PROMO", "Legendary"), (kind.isin("MEDIUM", "ECONOMY"), "Artifact"), (creature, "Creature"), (kind == "LARGE", "Enchantment"), (kind == "SMALL", "Instant")).alias("card_types"),
@@ -59,9 +66,9 @@ def editions(spark: SparkSession, sf_dir: str) -> DataFrame:
         counted([("R", F.when(both > 0, both)), ("U", blue), ("G", hybrid)]).alias("devotion"),
         (size % 9).alias("cmc"),
         F.when(creature, size % 13).alias("creature_power"),
-        F.when(creature, key % 13).cast("int").alias("creature_toughness"),
+        F.when(creature, F.when(size == 2, 2).otherwise(key % 13)).cast("int").alias("creature_toughness"),
         F.when(creature, (size % 13).cast("string")).alias("creature_power_text"),
-        F.when(creature, (key % 13).cast("string")).alias("creature_toughness_text"),
+        F.when(creature, F.when(size == 2, 2).otherwise(key % 13).cast("string")).alias("creature_toughness_text"),
         F.when(kind == "LARGE", size % 7).alias("planeswalker_loyalty"),
         F.concat(F.lit("{"), (size % 9).cast("string"), F.lit("}")).alias("mana_cost_text"),
         key.cast("int").alias("edhrec_rank"),
@@ -97,19 +104,19 @@ VIEW = """
 e AS (
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER)) AS printing_id,
     p_partkey AS oracle_id, l_suppkey AS illustration_id, p_name, lower(p_name) AS folded, p_type, p_size, p_brand, s_name,
-    'when ' || lower(p_name) || ' enters, draw a ' || lower(p_type) || ' card.' AS text_lower,
+    'when ' || lower(p_name) || ' enters, draw a ' || lower(p_type) || ' card.' || CASE p_size % 10 WHEN 0 THEN ' 100% of the time.' WHEN 1 THEN ' 100 a_d.' ELSE '' END AS text_lower,
     CASE WHEN contains(p_name, 'red') THEN 2 ELSE 0 END + CASE WHEN contains(p_name, 'blue') THEN 8 ELSE 0 END + CASE WHEN contains(p_name, 'cold') THEN 16 ELSE 0 END
       + CASE WHEN contains(p_name, 'old') THEN 4 ELSE 0 END + CASE WHEN contains(p_name, 'new') THEN 1 ELSE 0 END AS colors,
     CASE WHEN contains(p_name, 'red') THEN 2 ELSE 0 END AS pip_r, CASE WHEN contains(p_name, 'blue') THEN 1 ELSE 0 END AS pip_u, CASE WHEN p_size % 6 = 0 THEN 1 ELSE 0 END AS pip_rg,
     p_type IN ('PROMO', 'STANDARD', 'ECONOMY') AS creature, p_type IN ('MEDIUM', 'ECONOMY') AS artifact,
     p_size % 9 AS cmc, CASE WHEN p_type IN ('PROMO', 'STANDARD', 'ECONOMY') THEN p_size % 13 END AS pow,
-    CASE WHEN p_type IN ('PROMO', 'STANDARD', 'ECONOMY') THEN CAST(p_partkey % 13 AS INTEGER) END AS tou,
+    CASE WHEN p_type IN ('PROMO', 'STANDARD', 'ECONOMY') THEN CASE WHEN p_size = 2 THEN 2 ELSE CAST(p_partkey % 13 AS INTEGER) END END AS tou,
     CASE WHEN p_type = 'LARGE' THEN p_size % 7 END AS loy, lower(l_returnflag || l_linestatus) AS set_code,
     l_linenumber || CASE WHEN l_suppkey % 10 = 0 THEN 'a' ELSE '' END AS cn, l_linenumber, l_linenumber % 6 AS rarity, l_suppkey, l_returnflag, l_linestatus,
     CASE WHEN l_returnflag = 'R' THEN lower(p_brand) END AS watermark, l_extendedprice AS usd, CASE WHEN l_suppkey % 4 <> 0 THEN l_extendedprice END AS eur,
     l_quantity AS tix, CAST(l_shipdate AS DATE) AS released, l_quantity AS prefer,
     900 + p_retailprice % 97 AS elo, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % 101 END AS cubes, p_size * 3 AS picks
-  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)
+  FROM lineitem JOIN (SELECT * REPLACE (CASE WHEN p_size = 7 THEN string_split(p_name, ' ')[-1] ELSE p_name END AS p_name) FROM part) AS part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)
 """
 
 # name: (query, what it means in SQL over the view)
@@ -170,7 +177,7 @@ FILTERS: dict[str, tuple[str, str]] = {
     "f19_mana": ("m:{R}{R}", "pip_r >= 2 AND cmc >= 2"),
     "f19_mana_bare": ("mana>=1u", "pip_u >= 1 AND cmc >= 2"),
     "f19_mana_at_most": ("m<={4}{R}{R}", "pip_u = 0 AND pip_rg = 0 AND cmc <= 6"),
-    "f19_mana_equal": ("m={R/G}", "pip_r = 0 AND pip_u = 0 AND pip_rg = 1 AND cmc = 1"),
+    "f19_mana_equal": ("m={2}{R/G}", "pip_r = 0 AND pip_u = 0 AND pip_rg = 1 AND cmc = 3"),
     "f19_mana_not": ("m!={3}", "NOT (pip_r = 0 AND pip_u = 0 AND pip_rg = 0 AND cmc = 3)"),
     "f20_devotion": ("devotion:rr", "pip_r + pip_rg >= 2"),
     "f20_devotion_equal": ("devotion={R/G}", "pip_r + pip_rg = 1 AND pip_rg = 1 AND pip_u = 0"),
@@ -195,17 +202,17 @@ FILTERS: dict[str, tuple[str, str]] = {
 
 
 def filter_query(query: str) -> Callable[[SparkSession, str], DataFrame]:
-    """Which cards match, by how many editions, and the range of their prices and numbers."""
+    """Which cards match, by how many editions, which of them come first and last, their price, number and a sum over them."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = matching(editions(spark, sf_dir), query)
-        return rows.groupBy("oracle_id").agg(F.count(F.lit(1)).alias("editions"), F.min("price_usd").alias("usd"), F.max("collector_number_int").alias("number"))
+        return rows.groupBy("oracle_id").agg(F.count(F.lit(1)).alias("editions"), F.min("printing_id").alias("first"), F.max("printing_id").alias("last"), F.sum("price_tix").alias("tix"), F.min("price_usd").alias("usd"), F.max("collector_number_int").alias("number"))
 
     return run
 
 
 def filter_sql(where: str) -> str:
-    return f"WITH {VIEW} SELECT oracle_id, count(*) AS editions, min(usd) AS usd, max(l_linenumber) AS number FROM e WHERE {where} GROUP BY oracle_id"
+    return f"WITH {VIEW} SELECT oracle_id, count(*) AS editions, min(printing_id) AS first, max(printing_id) AS last, sum(tix) AS tix, min(usd) AS usd, max(l_linenumber) AS number FROM e WHERE {where} GROUP BY oracle_id"
 
 
 # name: (search parameters, SQL condition, group, preference, order)
@@ -263,8 +270,7 @@ def tag_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tag_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    return p.filter("p_partkey < 200").select(
+    return table(spark, sf_dir, "part").select(
         F.concat(F.lit("id"), "p_partkey").alias("id"),
         F.concat(F.lit("tag"), "p_partkey").alias("slug"),
         F.array(F.concat(F.lit("id"), F.expr("p_partkey div 3").cast("string")), F.lit("id-unknown")).alias("parent_ids"),
@@ -272,12 +278,12 @@ def tag_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw objects written as JSON, read back with the dump's schema, and made into editions, one row a face."""
+def raw_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as raw objects of a dump."""
     key, name, size = F.col("p_partkey"), F.col("p_name"), F.col("p_size")
     text = lambda c: c.cast("string")
     face = lambda n, line, cost: F.struct(F.lit(n).alias("name"), F.lit(line).alias("type_line"), F.lit(cost).alias("mana_cost"), text(size).alias("power"))
-    raw = table(spark, sf_dir, "part").select(
+    return table(spark, sf_dir, "part").select(
         text(key).alias("id"),
         text(key).alias("oracle_id"),
         F.when(key % 17 == 0, F.concat(name, F.lit(" // "), name)).otherwise(F.concat(F.lit("É"), name)).alias("name"),
@@ -295,8 +301,31 @@ def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Mythic").alias("rarity"),
         F.when(key % 6 == 0, F.array(face("Front", "Land", ""), face("Back", "Artifact — Vehicle", "{G}{G}"))).alias("card_faces"),
     )
-    read = raw.select(F.from_json(F.to_json(F.struct("*")), CARD_SCHEMA).alias("o")).select("o.*")
-    made = ingest.editions(read, all_faces=True)
+
+
+def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw objects written as JSON, read back with the dump's schema, and made into editions, one row a face."""
+    read = raw_objects(spark, sf_dir).select(F.from_json(F.to_json(F.struct("*")), CARD_SCHEMA).alias("o")).select("o.*")
+    return edition_columns(ingest.editions(read, all_faces=True))
+
+
+def from_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by way of files: a dump of JSON lines with some bad ones, read under its coverage, front faces only."""
+    folder = new_folder(spark, "dump")
+    lines = raw_objects(spark, sf_dir).select(F.when(F.col("id").cast("long") % 401 == 400, "{not an object").otherwise(F.to_json(F.struct("*"))).alias("value"))
+    lines.write.option("compression", "gzip").text(folder)
+    return edition_columns(ingest.editions(read_dump(spark, folder)))
+
+
+def from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a listing, each an object with a list of raw objects; only ids are looked at."""
+    folder = new_folder(spark, "pages")
+    pages = raw_objects(spark, sf_dir).select("id", "oracle_id", "name").groupBy(F.expr("cast(id as long) div 100").alias("page")).agg(F.collect_list(F.struct("id", "oracle_id", "name")).alias("data"))
+    pages.select(F.to_json(F.struct("data", (F.col("page") + 1).cast("string").alias("next_page"))).alias("value")).repartition("value").write.option("maxRecordsPerFile", 1).text(folder)
+    return read_pages(spark, folder).select("id", "oracle_id", "name")
+
+
+def edition_columns(made: DataFrame) -> DataFrame:
     return made.select("printing_id", "face_idx", "card_name_folded", F.array_join("card_types", " ").alias("types"), F.size("card_subtypes").alias("subtypes"), "cmc", "creature_power", F.array_join("card_keywords", ",").alias("keywords"),
         F.try_element_at("mana_cost_jsonb", F.lit("R/G")).alias("hybrid"), F.try_element_at("devotion", F.lit("G")).alias("devotion_g"), "card_colors", F.col("price_usd").cast("double").alias("usd"), "card_rarity_int", "collector_number_int")
 
@@ -349,11 +378,23 @@ def _catalog(make: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession,
     return lambda spark, sf_dir: make(editions(spark, sf_dir))
 
 
+RANKED = """ranked AS (SELECT oracle_id, 25 * percent_rank() OVER (ORDER BY oracle_id NULLS LAST) + 25 * percent_rank() OVER (ORDER BY elo DESC NULLS LAST)
+              + 25 * percent_rank() OVER (ORDER BY cubes DESC NULLS LAST) + 25 * percent_rank() OVER (ORDER BY picks DESC NULLS LAST) AS score
+            FROM (SELECT DISTINCT oracle_id, elo, cubes, picks FROM e))"""
+
+
+def unlike_name() -> Column:
+    """A name that no two cards share."""
+    return F.concat_ws("/", "card_name", "oracle_id")
+
+
 def _agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").filter("p_partkey < 500")
+    """Two rankings of all parts that are partly turned round: those of even size stand from the other end."""
+    p = table(spark, sf_dir, "part")
+    last = p.agg(F.max("p_partkey").alias("n")).select("n").scalar()
     left = p.select(F.col("p_partkey").alias("card_name"), F.col("p_partkey").alias("position"))
-    right = p.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("card_name"), (500 - F.col("p_partkey")).alias("position"))
-    return scores.position_agreement(left, right)
+    right = p.select(F.col("p_partkey").alias("card_name"), F.when(F.col("p_size") % 2 == 0, last - F.col("p_partkey")).otherwise(F.col("p_partkey")).alias("position"))
+    return scores.position_agreement(left, right).withColumn("agreement", F.round("agreement", 9))
 
 
 def _synced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -391,7 +432,7 @@ ANALYTICS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     ),
     "a5_artworks": (_catalog(catalogs.artwork_counts), f"WITH {VIEW} SELECT illustration_id, p_name AS card_name, count(*) AS printings FROM e WHERE l_suppkey % 3 <> 0 AND l_suppkey % 5 <> 0 GROUP BY ALL"),
     "a8_popularity": (
-        _catalog(lambda cards: scores.popularity(cards.withColumn("card_name", F.concat_ws("/", "card_name", "oracle_id"))).withColumn("cubecobra_score", F.round("cubecobra_score", 6))),
+        _catalog(lambda cards: scores.popularity(cards.withColumn("card_name", unlike_name())).withColumn("cubecobra_score", F.round("cubecobra_score", 6))),
         f"""WITH {VIEW}, c AS (SELECT DISTINCT p_name || '/' || oracle_id AS card_name, oracle_id, elo, cubes, picks FROM e)
             SELECT card_name, round(25 * percent_rank() OVER (ORDER BY oracle_id NULLS LAST) + 25 * percent_rank() OVER (ORDER BY elo DESC NULLS LAST)
               + 25 * percent_rank() OVER (ORDER BY cubes DESC NULLS LAST) + 25 * percent_rank() OVER (ORDER BY picks DESC NULLS LAST), 6) AS cubecobra_score FROM c""",
@@ -405,14 +446,14 @@ ANALYTICS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     ),
     "a12_quantile": (_catalog(lambda cards: catalogs.quantile(cards, "price_usd", 0.9)), f"WITH {VIEW} SELECT quantile_cont(usd, 0.9) AS quantile FROM e"),
     "a13_words": (
-        lambda s, d: catalogs.word_counts(table(s, d, "documents").filter("lang = 'en'"), "text", 4, 30, 200),
-        """SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}]{4,}'))) AS word FROM documents WHERE lang = 'en')
-           GROUP BY word HAVING count(*) >= 30 ORDER BY n DESC, word LIMIT 200""",
+        lambda s, d: catalogs.word_counts(table(s, d, "documents"), "text"),
+        """SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}]{4,}'))) AS word FROM documents)
+           GROUP BY word HAVING count(*) >= 30 ORDER BY n DESC, word LIMIT 4000""",
     ),
     "a14_agreement": (
         _agreement,
-        """WITH p AS (SELECT p_partkey AS k FROM part WHERE p_partkey < 500), n AS (SELECT count(*) AS n FROM p)
-           SELECT avg(1 - abs(k - (500 - k)) / n) AS agreement FROM p, n WHERE k % 2 = 0""",
+        """WITH n AS (SELECT count(*) AS n, max(p_partkey) AS last FROM part)
+           SELECT round(avg(1 - CASE WHEN p_size % 2 = 0 THEN abs(last - 2 * p_partkey) ELSE 0 END / n), 9) AS agreement FROM part, n""",
     ),
     "a15_completion": (
         _catalog(lambda cards: catalogs.completion(catalogs.type_counts(cards), "B")),
@@ -420,6 +461,8 @@ ANALYTICS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
             SELECT t AS completion FROM w WHERE lower(t) LIKE 'b%' GROUP BY t ORDER BY count(*) DESC, t LIMIT 1""",
     ),
     "e5_ingest": (ingested, INGEST_SQL),
+    "s2_dump_e3_front_face": (from_dump, f"SELECT * FROM ({INGEST_SQL}) WHERE face_idx = 1 AND CAST(printing_id AS BIGINT) % 401 <> 400"),
+    "s4_pages": (from_pages, "SELECT CAST(p_partkey AS VARCHAR) AS id, CAST(p_partkey AS VARCHAR) AS oracle_id, CASE WHEN p_partkey % 17 = 0 THEN p_name || ' // ' || p_name ELSE 'É' || p_name END AS name FROM part"),
     "e6_upsert": (upserted, UPSERT_SQL),
     "u6_last_of_each": (
         lambda s, d: upsert.last_of_each(table(s, d, "events").select("user_id", "event_id", "value"), ["user_id"], F.col("event_id")),
@@ -431,20 +474,37 @@ ANALYTICS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     ),
     "e8_tag_closure": (
         lambda s, d: tags.item_tags(tag_dump(s, d), "oracle_id").select("oracle_id", F.array_join("tags", ",").alias("tags")),
-        """WITH RECURSIVE r(tag, reached) AS (SELECT p_partkey, p_partkey FROM part WHERE p_partkey < 200 UNION SELECT tag, reached // 3 FROM r WHERE reached > 0)
+        """WITH RECURSIVE r(tag, reached) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT tag, reached // 3 FROM r WHERE reached > 0)
            SELECT CAST(tag * 2 AS VARCHAR) AS oracle_id, string_agg('tag' || reached, ',' ORDER BY 'tag' || reached) AS tags FROM r GROUP BY tag""",
     ),
-    "e9_tag_edges": (lambda s, d: tags.edges(tag_dump(s, d)), "SELECT 'tag' || p_partkey AS child_tag, 'tag' || p_partkey // 3 AS parent_tag FROM part WHERE p_partkey BETWEEN 1 AND 199"),
-    "e10_cycles": (lambda s, d: tags.cycles(tag_edges(s, d).unionByName(s.sql("SELECT 0L AS child_tag, 5L AS parent_tag"))), "SELECT unnest([0, 1, 2, 5]) AS tag WHERE TRUE"),
+    "e9_tag_edges": (lambda s, d: tags.edges(tag_dump(s, d)), "SELECT 'tag' || p_partkey AS child_tag, 'tag' || p_partkey // 3 AS parent_tag FROM part WHERE p_partkey > 0"),
+    "e10_cycles": (
+        # a tree, an edge back from its root, and a ring as long as there are suppliers beside it
+        lambda s, d: tags.cycles(
+            tag_edges(s, d)
+            .unionByName(s.sql("SELECT 0L AS child_tag, 5L AS parent_tag"))
+            .unionByName(table(s, d, "supplier").select((-F.col("s_suppkey") - 1).alias("child_tag"), (-F.pmod(F.col("s_suppkey") + 1, table(s, d, "supplier").agg(F.max("s_suppkey") + 1).scalar()) - 1).alias("parent_tag")))
+        ),
+        """WITH RECURSIVE e AS (SELECT p_partkey AS c, p_partkey // 2 AS p FROM part WHERE p_partkey > 0 UNION ALL SELECT 0, 5),
+           r(tag, reached) AS (SELECT c, p FROM e UNION SELECT tag, p FROM r JOIN e ON reached = c),
+           n AS (SELECT max(s_suppkey) AS last, count(*) = max(s_suppkey) + 1 AS closed FROM supplier)
+           SELECT tag FROM r WHERE tag = reached UNION ALL SELECT -s_suppkey - 1 FROM supplier, n WHERE closed""",
+    ),
     "e11_add_tag": (
         lambda s, d: upsert.add_tag(editions(s, d), editions(s, d).filter("cmc = 3"), "three").groupBy(F.array_join("card_is_tags", ",").alias("tags")).agg(F.count(F.lit(1)).alias("n")),
         f"WITH {VIEW} SELECT concat_ws(',', CASE WHEN oracle_id % 11 = 0 THEN 'reserved' END, CASE WHEN cmc = 3 THEN 'three' END) AS tags, count(*) AS n FROM e GROUP BY 1",
     ),
     "e12_prefer_scores": (_catalog(lambda cards: scores.prefer_scores(cards).select("printing_id", F.round("prefer_score", 4).alias("score"))), COMPONENTS_SQL),
-    "e14_sample": (_catalog(lambda cards: random_sample(cards, 25, seed=7).agg(F.count_distinct("oracle_id").alias("n"))), "SELECT 25 AS n"),
+    "e14_sample": (_catalog(lambda cards: random_sample(cards, 25, seed=7).agg(F.count_distinct("oracle_id").alias("n"))), f"WITH {VIEW} SELECT least(25, count(DISTINCT oracle_id)) AS n FROM e"),
+    "e14_sample_of_few": (
+        # fewer cards than asked for: all of them, each by its preferred edition
+        _catalog(lambda cards: random_sample(matching(cards, "t:planeswalker or (t:instant c:r cmc>6)"), 1000, seed=7).select("oracle_id", "printing_id")),
+        f"""WITH {VIEW} SELECT oracle_id, printing_id FROM e WHERE p_type = 'SMALL' AND colors & 2 = 2 AND cmc > 6
+            QUALIFY row_number() OVER (PARTITION BY oracle_id ORDER BY prefer DESC NULLS LAST, printing_id) = 1""",
+    ),
     "j6_synced_tags": (
         _synced,
-        f"""WITH RECURSIVE r(tag, reached) AS (SELECT p_partkey, p_partkey FROM part WHERE p_partkey < 200 UNION SELECT tag, reached // 3 FROM r WHERE reached > 0),
+        f"""WITH RECURSIVE r(tag, reached) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT tag, reached // 3 FROM r WHERE reached > 0),
             t AS (SELECT tag * 2 AS oracle_id, string_agg('tag' || reached, ',' ORDER BY 'tag' || reached) AS tags FROM r GROUP BY tag), {VIEW}
             SELECT CAST(e.oracle_id AS VARCHAR) AS oracle_id, coalesce(max(tags), '') AS tags, count(*) AS editions FROM e LEFT JOIN t ON e.oracle_id = t.oracle_id GROUP BY e.oracle_id""",
     ),
@@ -452,7 +512,7 @@ ANALYTICS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
         lambda s, d: tags.leaves(table(s, d, "part").select(F.col("p_partkey").alias("tag")), tag_edges(s, d)),
         "SELECT p_partkey AS tag FROM part WHERE p_partkey NOT IN (SELECT p_partkey // 2 FROM part WHERE p_partkey > 0)",
     ),
-    "j7_roots": (lambda s, d: tags.roots(table(s, d, "part").select(F.col("p_partkey").alias("tag")), tag_edges(s, d)), "SELECT 0 AS tag"),
+    "j7_roots": (lambda s, d: tags.roots(table(s, d, "part").select(F.col("p_partkey").alias("tag")), tag_edges(s, d)), "SELECT p_partkey AS tag FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey > 0)"),
     "j8_ancestors": (
         lambda s, d: tags.walk_sql(tag_edges(s, d)),
         """WITH RECURSIVE r(tag, reached) AS (SELECT p_partkey, p_partkey // 2 FROM part WHERE p_partkey > 0 UNION SELECT tag, reached // 2 FROM r WHERE reached > 0) SELECT tag, reached FROM r""",
@@ -474,6 +534,35 @@ ANALYTICS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
         lambda s, d: upsert.missing(table(s, d, "part").select(F.col("p_partkey").alias("oracle_id")), editions(s, d).filter("cmc > 1"), "oracle_id"),
         f"WITH {VIEW} SELECT p_partkey AS oracle_id FROM part WHERE p_partkey NOT IN (SELECT oracle_id FROM e WHERE cmc > 1)",
     ),
+    "u5_hashed": (
+        _catalog(lambda cards: one_each(matching(cards, "cmc<6"), Unique.CARD, Prefer.USD_LOW, hashed=True).select("oracle_id", "printing_id", "price_usd")),
+        f"WITH {VIEW} SELECT oracle_id, printing_id, usd AS price_usd FROM e WHERE cmc < 6 QUALIFY row_number() OVER (PARTITION BY oracle_id ORDER BY usd NULLS LAST, prefer DESC NULLS LAST, printing_id) = 1",
+    ),
+    "u5_hashed_artworks": (
+        _catalog(lambda cards: one_each(cards, Unique.ARTWORK, Prefer.NEWEST, hashed=True).select("oracle_id", "illustration_id", "printing_id")),
+        f"WITH {VIEW} SELECT oracle_id, l_suppkey AS illustration_id, printing_id FROM e QUALIFY row_number() OVER (PARTITION BY oracle_id, l_suppkey ORDER BY released DESC NULLS LAST, prefer DESC NULLS LAST, printing_id) = 1",
+    ),
+    "j3_with_popularity": (
+        _catalog(lambda cards: scores.with_popularity(cards.withColumn("card_name", unlike_name())).select("printing_id", F.round("cubecobra_score", 6).alias("score"))),
+        f"WITH {VIEW}, {RANKED} SELECT printing_id, round(score, 6) AS score FROM e JOIN ranked USING (oracle_id)",
+    ),
+    "o1_cubecobra": (
+        _catalog(lambda cards: search(scores.with_popularity(cards.withColumn("card_name", unlike_name())), "cmc=4", orderby="cubecobra", limit=50, fields=["name", "scryfall_id"]).page),
+        f"""WITH {VIEW}, {RANKED} SELECT p_name || '/' || oracle_id AS name, printing_id AS scryfall_id FROM e JOIN ranked USING (oracle_id) WHERE cmc = 4
+            QUALIFY row_number() OVER (PARTITION BY oracle_id ORDER BY prefer DESC NULLS LAST, printing_id) = 1 ORDER BY round(score, 9), oracle_id, printing_id LIMIT 50""",
+    ),
+    "p2_default_fields": (
+        _catalog(lambda cards: search(cards, "pow=3", limit=80).page),
+        f"""WITH {VIEW}, k AS (SELECT * FROM e WHERE pow = 3 QUALIFY row_number() OVER (PARTITION BY oracle_id ORDER BY prefer DESC NULLS LAST, printing_id) = 1)
+            SELECT p_name AS name, set_code, cn AS collector_number, CAST(pow AS VARCHAR) AS power, CAST(tou AS VARCHAR) AS toughness, '{{' || cmc || '}}' AS mana_cost,
+              'When ' || p_name || substr(text_lower, 6 + length(p_name)) AS oracle_text, 'Set ' || l_returnflag AS set_name, p_type AS type_line FROM k ORDER BY oracle_id LIMIT 80""",
+    ),
+    "p5_extra_fields": (
+        _catalog(lambda cards: search(cards, "t:artifact", fields=["name", "keywords", "oracle_tags"], limit=80).page.select("name", F.array_join("keywords", ",").alias("keywords"), F.array_join("oracle_tags", ",").alias("oracle_tags"))),
+        f"""WITH {VIEW}, k AS (SELECT * FROM e WHERE artifact QUALIFY row_number() OVER (PARTITION BY oracle_id ORDER BY prefer DESC NULLS LAST, printing_id) = 1 ORDER BY oracle_id LIMIT 80)
+            SELECT p_name AS name, concat_ws(',', CASE WHEN p_size % 2 = 0 THEN 'flying' END, CASE WHEN p_size % 3 = 0 THEN 'haste' END, CASE WHEN p_size % 5 = 0 THEN 'trample' END) AS keywords,
+              concat_ws(',', CASE WHEN oracle_id % 7 = 0 THEN 'bounceland' END, CASE WHEN oracle_id % 5 = 0 THEN 'modal' END) AS oracle_tags FROM k""",
+    ),
     "u5_one_each_counts": (
         _catalog(lambda cards: one_each(cards, Unique.ARTWORK, "default").groupBy("oracle_id").agg(F.count(F.lit(1)).alias("artworks"), F.sum("prefer_score").alias("score"))),
         f"WITH {VIEW}, m AS (SELECT oracle_id, illustration_id, max(prefer) AS p FROM e GROUP BY ALL) SELECT oracle_id, count(*) AS artworks, sum(p) AS score FROM m GROUP BY oracle_id",

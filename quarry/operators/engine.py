@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.operators import catalogs
 from quarry.operators.search import Prefer, Unique, held, one_each, random_sample, search
-from quarry.sources.bulk import publish
+from quarry.sources.bulk import publish, published
 
 
 class SearchEngine:
@@ -20,11 +20,15 @@ class SearchEngine:
         self._batches: list[DataFrame] | None = None
 
     def open(self) -> SearchEngine:
-        """Reads the published table; an engine that is closed has no cards."""
-        cards = self.spark.read.parquet(self.path)
-        if self.cards is not None and self.cached:
-            self.cards.unpersist()
-        self.cards = held(cards) if self.cached else cards
+        """Reads the published table. The new one is in memory before it takes the old one's place, and queries that still run on
+        the old one can go back to its files."""
+        fresh, old = published(self.spark, self.path), self.cards
+        if self.cached:
+            fresh = held(fresh)
+            fresh.count()
+        self.cards = fresh
+        if old is not None and self.cached:
+            old.unpersist()
         return self
 
     def _open_cards(self) -> DataFrame:
@@ -73,7 +77,7 @@ class SearchEngine:
         self._batches.append(cards)
 
     def reload_commit(self) -> int:
-        """Publishes all batches as one table, by a rename."""
+        """Publishes all batches as one table."""
         if not self._batches:
             raise ValueError("a reload has no batch")
         every = self._batches[0]
@@ -81,7 +85,6 @@ class SearchEngine:
             every = every.unionByName(more)
         publish(every, self.path)
         self._batches = None
-        self.spark.catalog.refreshByPath(self.path)
         return self.open().size()
 
     def reload_abort(self) -> None:

@@ -9,19 +9,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.catalogs import artwork_counts
-
-# Weights of the preference components.
-ARTWORK_WEIGHT, ARTWORK_SCALE = 23, 40
-RARITY = {0: 16, 1: 16, 2: 11}
-FRAMES = (("2015", 42), ("2003", 30), ("1997", 25), ("1993", 10))
-WEIGHTS = {"border": 14, "extended_art": 12, "highres_scan": 16, "has_paper": 6, "language": 40, "legendary_frame": 5, "non_showcase": 10, "nonfoil": 10, "foil": 5, "artwork_set": 20, "art_style": 14}
+from quarry.operators.lineage import cut_lineage
+
+# Weights of the preference components; a rarity's and a frame's weight goes by its value.
+ARTWORK_SCALE = 40
+WEIGHTS = {
+    "illustration_count": 23, "rarity_0": 16, "rarity_1": 16, "rarity_2": 11, "border": 14, "frame_2015": 42, "frame_2003": 30, "frame_1997": 25, "frame_1993": 10, "extended_art": 12, "highres_scan": 16, "has_paper": 6,
+    "language": 40, "legendary_frame": 5, "non_showcase": 10, "nonfoil": 10, "foil": 5, "artwork_set": 20, "art_style": 14,
+}
 ART_EXEMPT = ("dungeons-and-dragons", "the-lord-of-the-rings")
 ART_OFF = ("anime", "comic-style", "line-art", "word-art-title")
 POPULARITY = {"edhrec_rank": 1.0, "cubecobra_elo": 1.0, "cubecobra_cube_count": 1.0, "cubecobra_pick_count": 1.0}
 
 
-def components(weights: dict[str, int] = WEIGHTS) -> dict[str, Column]:
-    """The thirteen components as columns; `printings` is the artwork's count."""
+def components(weights: dict[str, float] | None = None) -> dict[str, Column]:
+    """The thirteen components as columns, any weight of which can be another; `printings` is the artwork's count."""
+    if unknown := set(weights or {}) - set(WEIGHTS):
+        raise ValueError(f"no such weights: {', '.join(sorted(unknown))}")
+    weights = WEIGHTS | (weights or {})
     points = lambda condition, n: F.when(condition, n).otherwise(0)
     has = lambda column, value: F.array_contains(F.coalesce(column, F.array().cast("array<string>")), value)
     tags = F.coalesce(F.col("card_art_tags"), F.array().cast("array<string>"))
@@ -29,10 +34,10 @@ def components(weights: dict[str, int] = WEIGHTS) -> dict[str, Column]:
     pick = lambda cases: functools.reduce(lambda chain, c: chain.when(c[0], c[1]), cases[1:], F.when(*cases[0])).otherwise(0)
     count = F.coalesce("printings", F.lit(0))
     return {
-        "illustration_count": F.round(ARTWORK_WEIGHT * F.ln(1 + count) / F.ln(F.lit(ARTWORK_SCALE)), 4),
-        "rarity": pick([(F.col("card_rarity_int") == r, n) for r, n in RARITY.items()]),
+        "illustration_count": F.round(weights["illustration_count"] * F.ln(1 + count) / F.ln(F.lit(ARTWORK_SCALE)), 4),
+        "rarity": pick([(F.col("card_rarity_int") == r, weights[f"rarity_{r}"]) for r in range(3)]),
         "border": points(F.col("card_border") == "black", weights["border"]),
-        "frame": pick([(has("card_frame_data", f), n) for f, n in FRAMES]),
+        "frame": pick([(has("card_frame_data", f), weights[f"frame_{f}"]) for f in ("2015", "2003", "1997", "1993")]),
         "extended_art": points(has("card_frame_data", "Extendedart"), weights["extended_art"]),
         "highres_scan": points(F.col("image_status") == "highres_scan", weights["highres_scan"]),
         "has_paper": points(has("games", "paper"), weights["has_paper"]),
@@ -45,7 +50,7 @@ def components(weights: dict[str, int] = WEIGHTS) -> dict[str, Column]:
     }
 
 
-def prefer_scores(cards: DataFrame, weights: dict[str, int] = WEIGHTS) -> DataFrame:
+def prefer_scores(cards: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """cards with prefer_score_components (a map) and prefer_score. Artworks are counted once and joined; the plan picks how."""
     cards = cards.drop("prefer_score_components", "prefer_score")
     counted = cards.join(artwork_counts(cards), ["illustration_id", "card_name"], "left")
@@ -55,20 +60,34 @@ def prefer_scores(cards: DataFrame, weights: dict[str, int] = WEIGHTS) -> DataFr
     return scored.withColumn("prefer_score", total).drop("printings")
 
 
+def percent_ranks(rows: DataFrame, column: str, ascending: bool, name: str) -> DataFrame:
+    """column and its percent rank among all rows (nulls last), one row a value.
+
+    Equal values are folded first, so a hot one costs a row; the values are dealt out by ranges of the order and counts put one
+    range behind the other, so no task sees them all."""
+    order = F.col(column).asc_nulls_last() if ascending else F.col(column).desc_nulls_last()
+    values = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n_"))
+    ranged = cut_lineage(values.repartitionByRange(order).withColumn("range_", F.spark_partition_id()))
+    sizes = ranged.groupBy("range_").agg(F.sum("n_").alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    offsets = sizes.select(F.col("range_").alias("at_"), before.alias("before_"), F.sum("n_").over(Window.partitionBy()).alias("all_"))
+    inside = F.coalesce(F.sum("n_").over(Window.partitionBy("range_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.withColumn("inside_", inside).join(offsets, F.col("range_") == F.col("at_"))
+    return placed.select(column, ((F.col("before_") + F.col("inside_")) / F.greatest(F.col("all_") - 1, F.lit(1))).alias(name))
+
+
 def popularity(cards: DataFrame, weights: dict[str, float] = POPULARITY) -> DataFrame:
     """card_name, cubecobra_score: percent ranks of a card's measures, weighted to 0 (best) to 100.
 
-    One row a name goes into the ranks (its first edition by id). A global rank needs one order of all names, so
-    that many rows meet in one task: names, not editions."""
+    One row a name goes into the ranks (its first edition by id)."""
     first = F.min_by(F.struct(*weights), "printing_id").alias("first")
-    names = cards.groupBy("card_name").agg(first).select("card_name", "first.*")
-    total = sum(weights.values())
-
-    def rank(column: str, weight: float) -> Column:
-        order = F.col(column).asc_nulls_last() if column == "edhrec_rank" else F.col(column).desc_nulls_last()
-        return F.percent_rank().over(Window.orderBy(order)) * (100 * weight / total)
-
-    return names.select("card_name", functools.reduce(operator.add, [rank(c, w) for c, w in weights.items()]).alias("cubecobra_score"))
+    names = cut_lineage(cards.groupBy("card_name").agg(first).select("card_name", "first.*"))
+    total, ranked = sum(weights.values()), names
+    for i, column in enumerate(weights):
+        told = percent_ranks(names, column, column == "edhrec_rank", f"rank_{i}").withColumnRenamed(column, f"value_{i}")
+        ranked = ranked.join(told, ranked[column].eqNullSafe(told[f"value_{i}"])).drop(f"value_{i}")
+    score = functools.reduce(operator.add, [F.col(f"rank_{i}") * (100 * w / total) for i, w in enumerate(weights.values())])
+    return ranked.select("card_name", score.alias("cubecobra_score"))
 
 
 def with_popularity(cards: DataFrame, weights: dict[str, float] = POPULARITY) -> DataFrame:

@@ -119,10 +119,10 @@ def matching(cards: DataFrame, query: str, gaps: bool = False) -> DataFrame:
     return cards.filter(compile_tree(parsed(query), gaps=gaps))
 
 
-def one_each(rows: DataFrame, unique: Unique, prefer: Prefer, hashed: bool = False) -> DataFrame:
+def one_each(rows: DataFrame, unique: Unique, prefer: Prefer, hashed: bool = False, within: tuple[str, ...] = ()) -> DataFrame:
     """One edition of each group: the preferred one. The first row of a group is cut on the map side, so a hot group costs a row a task.
 
-    hashed: by an aggregation instead of a window, which gives the same rows."""
+    hashed: by an aggregation instead of a window, which gives the same rows. within: columns that tell groups apart too."""
     if unique is Unique.PRINTING:
         return rows
     column, direction = PREFERENCES[prefer]
@@ -131,14 +131,18 @@ def one_each(rows: DataFrame, unique: Unique, prefer: Prefer, hashed: bool = Fal
         value = F.unix_date(column) if column == "released_at" else F.col(column).cast("double")
         signed = value if direction is Direction.ASC else -value
         best = F.struct(value.isNull(), signed, F.col("prefer_score").isNull(), -F.col("prefer_score"), F.col("printing_id"))
-        return rows.groupBy(*GROUPS[unique]).agg(F.min_by(F.struct(*rows.columns), best).alias("row_")).select("row_.*")
+        return rows.groupBy(*within, *GROUPS[unique]).agg(F.min_by(F.struct(*rows.columns), best).alias("row_")).select("row_.*")
     order = [nulls_last(F.col(column), direction), *([F.col("prefer_score").desc_nulls_last()] if column != "prefer_score" else []), F.col("printing_id")]
-    return rows.withColumn("pick_", F.row_number().over(Window.partitionBy(*GROUPS[unique]).orderBy(*order))).filter("pick_ = 1").drop("pick_")
+    return rows.withColumn("pick_", F.row_number().over(Window.partitionBy(*within, *GROUPS[unique]).orderBy(*order))).filter("pick_ = 1").drop("pick_")
 
 
-def ordered(rows: DataFrame, orderby: OrderBy, direction: Direction) -> DataFrame:
+def sort_keys(orderby: OrderBy, direction: Direction) -> list[Column]:
     ties = [] if orderby is OrderBy.EDHREC else [F.col("edhrec_rank").asc_nulls_last()]
-    return rows.orderBy(nulls_last(F.expr(SORTS[orderby]), direction), *ties, F.col("printing_id"))
+    return [nulls_last(F.expr(SORTS[orderby]), direction), *ties, F.col("printing_id")]
+
+
+def ordered(rows: DataFrame, orderby: OrderBy, direction: Direction) -> DataFrame:
+    return rows.orderBy(*sort_keys(orderby, direction))
 
 
 def paged(rows: DataFrame, limit: int | None, offset: int) -> DataFrame:
@@ -176,6 +180,7 @@ class Found:
     groups: DataFrame
     query: str
     explanation: str
+    compiled: str
     params: dict = field(default_factory=dict)
 
     def total(self) -> int:
@@ -193,7 +198,7 @@ class Found:
         else:
             cards = rows
         timings = {"page_ms": page_ms, "count_ms": count_ms}
-        return {"cards": cards, "compiled": self.query, "params": self.params, "query": self.query, "query_explanation": self.explanation, "timings": timings, "total_cards": total}
+        return {"cards": cards, "compiled": self.compiled, "params": self.params, "query": self.query, "query_explanation": self.explanation, "timings": timings, "total_cards": total}
 
     def explain(self) -> str:
         """Spark's formatted plan of the page."""
@@ -207,7 +212,24 @@ def search(cards: DataFrame, query: str = "", unique: str = Unique.CARD, prefer:
     kept, groups = one_each(rows, unique, prefer), rows if unique is Unique.PRINTING else rows.select(*GROUPS[unique]).distinct()
     page = shown(paged(ordered(kept, orderby, direction), limit, offset), fields)
     params = {"unique": unique, "prefer": prefer, "orderby": orderby, "direction": direction, "limit": limit, "offset": offset}
-    return Found(page, kept, groups, query, explain(parsed(query)), {k: str(v) if isinstance(v, StrEnum) else v for k, v in params.items()})
+    compiled = repr(compile_tree(parsed(query))).removeprefix("Column<'").removesuffix("'>")
+    return Found(page, kept, groups, query, explain(parsed(query)), compiled, {k: str(v) if isinstance(v, StrEnum) else v for k, v in params.items()})
+
+
+def search_many(cards: DataFrame, queries: list[str], unique: str = Unique.CARD, prefer: str = Prefer.DEFAULT, orderby: str = OrderBy.EDHREC, direction: str = Direction.ASC, limit: int = DEFAULT_LIMIT, fields: Iterable[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pages and totals of many queries, each from one scan: (query, position, fields) and (query, total_cards_count), by the query's place in
+    the list. Every row is tested by all queries at once, so a scan's cost is shared."""
+    unique, prefer, orderby, direction = choice(Unique, unique, "unique"), choice(Prefer, prefer, "prefer"), choice(OrderBy, orderby, "orderby"), choice(Direction, direction, "direction")
+    hits = F.array_compact(F.array(*[F.when(compile_tree(parsed(q)), F.lit(i)) for i, q in enumerate(queries)]))
+    rows = cards.select("*", F.explode(hits).alias("query"))
+    kept = one_each(rows, unique, prefer, within=("query",))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(*sort_keys(orderby, direction)))
+    page = kept.withColumn("position", place).filter(F.col("position") <= limit)
+    page = page.select("query", "position", *[F.col((RESULT_FIELDS | EXTRA_FIELDS)[n]).alias(n) for n in shown(cards, fields).columns])
+    groups = rows.select("query", "printing_id") if unique is Unique.PRINTING else rows.select("query", *GROUPS[unique]).distinct()
+    counted = groups.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+    every = cards.sparkSession.range(len(queries)).select(F.col("id").cast("int").alias("query"))
+    return page, every.join(counted, "query", "left").select("query", F.coalesce("n", F.lit(0)).alias("total_cards_count"))
 
 
 def total_and_page(found: Found) -> DataFrame:

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from quarry.operators.lineage import cut_lineage
 
-DEPTH = 100  # levels of a hierarchy at most
-
 
 def edges(dump: DataFrame) -> DataFrame:
     """child_tag, parent_tag from a tag dump; unknown parents and self-edges are dropped."""
@@ -17,30 +15,39 @@ def edges(dump: DataFrame) -> DataFrame:
     return pairs.join(named, "parent_id").filter("child_tag <> parent_tag").select("child_tag", "parent_tag").distinct()
 
 
-def walk(edge: DataFrame, up: bool = True, depth: int = DEPTH) -> DataFrame:
-    """tag, reached: every tag with all its ancestors (or descendants). Cycles end as nothing new is found.
+def walk(edge: DataFrame, up: bool = True) -> DataFrame:
+    """tag, reached: every tag with all its ancestors (or descendants), however far; cycles end as nothing new is found.
 
-    A round joins what is found with itself and so doubles the distance covered; its lineage is cut, so plans stay small."""
+    A round knows all pairs nearer than a power of two, and those at just that distance. Joining the two gives all pairs nearer
+    than the next power, each once in a tree, so rounds are logarithmic in the depth and little is found twice. When a
+    round adds nothing, no pair lies farther: each longer way has a part of just the distance that it looked at."""
     a, b = ("child_tag", "parent_tag") if up else ("parent_tag", "child_tag")
-    found, span = cut_lineage(edge.select(F.col(a).alias("tag"), F.col(b).alias("reached")).distinct()), 1
-    size = found.count()
-    while span < depth:
-        further = found.alias("x").join(found.alias("y"), F.col("x.reached") == F.col("y.tag")).select(F.col("x.tag").alias("tag"), F.col("y.reached").alias("reached"))
-        found, span, before = cut_lineage(found.unionByName(further).distinct()), span * 2, size
-        size = found.count()
-        if size == before:
-            break
-    return found
-
-
-def walk_sql(edge: DataFrame, up: bool = True, depth: int = DEPTH) -> DataFrame:
-    """walk() as one recursive common table expression, for hierarchies without cycles."""
+    pairs = edge.select(F.col(a).alias("tag"), F.col(b).alias("reached")).distinct()
+
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        onward = right.select(F.col("tag").alias("via"), F.col("reached").alias("further"))
+        return left.join(onward, left["reached"] == onward["via"]).select("tag", F.col("further").alias("reached"))
+
+    # far: pairs at just the distance; both kinds are written as one table, so that a round costs one
+    table, size = cut_lineage(pairs.withColumn("far", F.explode(F.array(F.lit(False), F.lit(True))))), -1
+    while True:
+        known, step = (table.filter(c).select("tag", "reached") for c in ("NOT far", "far"))
+        counts = dict(table.groupBy("far").count().collect())
+        before, size = size, counts.get(False, 0)
+        if size == before or not counts.get(True):
+            return known
+        near = known.unionByName(step).unionByName(joined(known, step)).distinct()
+        table = cut_lineage(near.withColumn("far", F.lit(False)).unionByName(joined(step, step).distinct().withColumn("far", F.lit(True))))
+
+
+def walk_sql(edge: DataFrame, up: bool = True) -> DataFrame:
+    """walk() as one recursive common table expression, for hierarchies without cycles; raises beyond Spark's limit of levels."""
     a, b = ("child_tag", "parent_tag") if up else ("parent_tag", "child_tag")
     return edge.sparkSession.sql(
-        f"""WITH RECURSIVE reached_(tag, reached, level) AS (
-              SELECT {a}, {b}, 1 FROM {{edge}}
+        f"""WITH RECURSIVE reached_(tag, reached) AS (
+              SELECT {a}, {b} FROM {{edge}}
               UNION ALL
-              SELECT r.tag, e.{b}, r.level + 1 FROM reached_ r JOIN {{edge}} e ON r.reached = e.{a} WHERE r.level < {depth})
+              SELECT r.tag, e.{b} FROM reached_ r JOIN {{edge}} e ON r.reached = e.{a})
             SELECT DISTINCT tag, reached FROM reached_""",
         edge=edge,
     )

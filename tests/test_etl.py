@@ -6,15 +6,16 @@ import json
 import math
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from quarry.functions.colors import mask
 from quarry.functions.mana import devotion, mana_value, pips
 from quarry.functions.text import fold_accents
-from quarry.operators import catalogs, engine, ingest, scores, tags, telemetry, upsert
-from quarry.operators.search import QueryError, browse, random_sample, search
+from quarry.operators import catalogs, engine, imports, ingest, scores, tags, telemetry, upsert
+from quarry.operators.search import QueryError, browse, random_sample, search, search_many
 from quarry.sources import bulk
-from quarry.sources.paged import read_pages
+from quarry.sources.paged import follow_pages, read_pages
 from quarry.streaming import query_log
 
 
@@ -104,6 +105,84 @@ def test_publish_swaps_whole_tables(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == 3 and bulk.dump_path("/a/", "rulings") == "/a/rulings"
 
 
+def test_published_versions(spark, tmp_path):
+    path = str(tmp_path / "table")
+    with pytest.raises(FileNotFoundError):
+        bulk.published(spark, path)
+    old = bulk.publish(spark.range(5).withColumn("oracle_id", F.col("id")), path)
+    with pytest.raises(PySparkException):
+        bulk.publish(spark.range(9).withColumn("oracle_id", F.expr("raise_error('fails')")), path)
+    assert bulk.published(spark, path).count() == 5  # what fails midway changes nothing
+    bulk.publish(spark.range(7).withColumn("oracle_id", F.col("id")), path)
+    assert old.count() == 5 and bulk.published(spark, path).count() == 7  # readers of the version before still have its files
+    for n in (1, 2):
+        bulk.publish(spark.range(n).withColumn("oracle_id", F.col("id")), path)
+    assert len([p for p in (tmp_path / "table").iterdir() if p.name.startswith("v-")]) == bulk.KEPT and bulk.published(spark, path).count() == 2
+
+
+def test_dump_is_loaded_once(spark, tmp_path):
+    (tmp_path / "dump.jsonl").write_text("\n".join([json.dumps(raw()), "{not json", json.dumps(raw(id="p2"))]))
+    with pytest.raises(bulk.CoverageError):
+        bulk.load_dump(spark, str(tmp_path / "dump.jsonl"), str(tmp_path / "out"))
+    assert sorted(x["id"] for x in bulk.load_dump(spark, str(tmp_path / "dump.jsonl"), str(tmp_path / "out"), coverage=0.5).collect()) == ["p1", "p2"]
+
+
+def test_whole_import(spark, tmp_path):
+    def dump(name, objects):
+        (tmp_path / name).write_text("\n".join(map(json.dumps, objects)))
+        return str(tmp_path / name)
+
+    path, tagged = str(tmp_path / "table"), [{"id": "1", "slug": "a", "parent_ids": [], "taggings": []}, {"id": "2", "slug": "b", "parent_ids": ["1"], "taggings": [{"oracle_id": "o1"}]}]
+    first = imports.import_cards(spark, dump("one", [raw(), raw(id="p2", oracle_id="o2", name="Wolf")]), path, oracle_tags=dump("tags", tagged), ranking=dump("ranking", [{"oracle_id": "o2", "elo": 5.0, "cubeCount": 1, "pickCount": 2}]))
+    assert first == {"inserted": 2, "updated": 0, "unchanged": 0}
+    with pytest.raises(ValueError):
+        imports.import_cards(spark, dump("few", [raw()]), path, least=9)
+    again = imports.import_cards(spark, dump("two", [raw(), raw(id="p2", oracle_id="o2", name="Wolf", cmc=3.0), raw(id="p3", oracle_id="o3", name="Elk")]), path)
+    assert again == {"inserted": 1, "updated": 1, "unchanged": 1}
+    got = {x["printing_id"]: x for x in bulk.published(spark, path).collect()}
+    assert (got["p1"]["card_oracle_tags"], got["p2"]["cmc"], got["p2"]["cubecobra_elo"], got["p1"]["card_is_tags"]) == (["a", "b"], 3, 5.0, ["reserved"])
+    assert got["p3"]["prefer_score"] == got["p1"]["prefer_score"] > 100
+    assert imports.rescore(spark, path, {"language": 0, "rarity_2": 1}).filter("printing_id = 'p1'").first()["prefer_score"] == pytest.approx(got["p1"]["prefer_score"] - 50)
+    with pytest.raises(ValueError):
+        imports.rescore(spark, path, {"nonsuch": 1})
+
+
+def test_listing_follows_its_pages(spark, tmp_path):
+    for n in (1, 2, 3):
+        (tmp_path / f"{n}.json").write_text(json.dumps({"data": [raw(id=f"{n}{c}") for c in "ab"], "next_page": (tmp_path / f"{n + 1}.json").as_uri() if n != 2 else None}))
+    urls = [(tmp_path / f"{n}.json").as_uri() for n in (1, 3, 7)]  # the third page's next isn't there; the seventh isn't either
+    assert sorted(x["id"] for x in follow_pages(spark, urls).collect()) == ["1a", "1b", "2a", "2b", "3a", "3b"]
+    assert follow_pages(spark, urls[2:]).count() == follow_pages(spark, []).count() == 0
+
+
+def test_long_hierarchies_and_rings(spark):
+    chain = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000 + (i + 1) % 170) for i in range(170)] + [(0, 1000)]
+    edge = spark.createDataFrame(chain, "child_tag long, parent_tag long")
+    up = {}
+    for x in tags.walk(edge).collect():
+        up.setdefault(x["tag"], set()).add(x["reached"])
+    ring = set(range(1000, 1170))
+    assert up == {0: set(range(1, 301)) | ring} | {i: set(range(i + 1, 301)) for i in range(1, 300)} | dict.fromkeys(ring, ring)
+    assert {x["tag"] for x in tags.cycles(edge).collect()} == ring
+    assert tags.walk(edge.limit(0)).count() == 0
+
+
+def test_many_queries_at_once(spark, tmp_path):
+    cards = ingest.editions(load(spark, tmp_path, [raw(id=f"p{i}", oracle_id=f"o{i % 7}", name=f"Card {i % 7}", cmc=float(i % 5), edhrec_rank=i % 7) for i in range(40)])).cache()
+    asked = ["cmc>2", "cmc=1 or cmc=4", "nothing", "", "name:3"]
+    for unique in ("card", "printing"):
+        page, totals = search_many(cards, asked, unique=unique, limit=5, fields=["scryfall_id", "name"])
+        rows, counts = page.orderBy("query", "position").collect(), {x["query"]: x["total_cards_count"] for x in totals.collect()}
+        for i, q in enumerate(asked):
+            one = search(cards, q, unique=unique, limit=5, fields=["scryfall_id", "name"])
+            assert [(x["scryfall_id"], x["name"]) for x in rows if x["query"] == i] == [tuple(x) for x in one.page.collect()] and counts[i] == one.total()
+
+
+def test_compiled_query(spark, tmp_path):
+    cards = ingest.editions(load(spark, tmp_path, [raw()]))
+    assert "cmc" in search(cards, "cmc<3").envelope()["compiled"] and "<" in search(cards, "cmc<3").envelope()["compiled"]
+
+
 def test_paged_source(spark, tmp_path):
     for n in (1, 2):
         (tmp_path / f"page-{n}.json").write_text(json.dumps({"data": [raw(id=f"{n}{c}") for c in "ab"], "next_page": n < 2}, indent=1))
@@ -194,7 +273,7 @@ def test_prefer_scores(spark, tmp_path):
     assert got["p2"]["prefer_score"] == pytest.approx(art + 0 + 0 + 10 + 0 + 0 + 6 + 0 + 5 + 0 + 5 + 0 + 0)
     again = scores.prefer_scores(scores.prefer_scores(cards))
     assert {x["printing_id"]: x["prefer_score"] for x in again.collect()} == {k: v["prefer_score"] for k, v in got.items()}
-    lighter = scores.prefer_scores(cards, scores.WEIGHTS | {"language": 1}).filter("printing_id = 'p1'").first()
+    lighter = scores.prefer_scores(cards, {"language": 1}).filter("printing_id = 'p1'").first()
     assert lighter["prefer_score"] == pytest.approx(got["p1"]["prefer_score"] - 39)
 
 
