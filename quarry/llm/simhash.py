@@ -8,7 +8,7 @@ large file is cut into chunks, and each pair of chunks is a group), where the Ha
 A group returns a spanning forest of its links, at most one row per member, never all pairs.
 Connected components of the forests give each document its class.
 
-Defined results: a null or wordless text has fingerprint zero and links like any other; a null doc_id takes its
+Defined results: a null or wordless text has fingerprint zero and links like any other; doc_id must be a whole number; a null doc_id takes its
 fingerprint's class but names none; repeated rows share a class; an empty table gives an empty result; other
 columns are ignored.
 """

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -50,6 +51,19 @@ def test_bpe_equals_the_library():
         assert memoryview(told[3]).cast("I").tolist() == ids
 
 
+def test_bpe_of_a_huge_piece():
+    """A piece of a hundred thousand letters gives the library's ids, in packed arrays."""
+    own, library = encoders()
+    r = random.Random(2)
+    text = "".join(r.choice("etaoinshrdlu") for _ in range(100_000))
+    tracemalloc.start()
+    ids = own.encode(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert own.decode(ids) == text.encode() and peak < 12_000_000
+    assert ids == library.encode_ordinary(text)
+
+
 def test_bpe_forgets_old_pieces(monkeypatch):
     monkeypatch.setattr(bpe, "KEEP_PIECES", 3)
     own, library = encoders()
