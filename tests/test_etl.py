@@ -9,6 +9,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from quarry.functions import stored
 from quarry.functions.colors import mask
 from quarry.functions.mana import devotion, mana_value, pips
 from quarry.functions.text import fold_accents
@@ -167,6 +168,14 @@ def test_long_hierarchies_and_rings(spark):
     assert tags.walk(edge.limit(0)).count() == 0
 
 
+def test_table_functions(spark):
+    stored.register(spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "b")], "child_tag string, parent_tag string"))
+    said = lambda call: sorted(x[0] for x in spark.sql(f"SELECT * FROM {call}").collect())
+    assert said("tag_ancestors('c')") == ["a", "b"] and said("tag_descendants('a')") == ["b", "c", "d"] and said("tag_parents('b')") == ["a"] and said("tag_children('b')") == ["c", "d"]
+    rows = spark.sql("SELECT t.x, f.reached FROM VALUES ('c'), ('b') AS t(x), LATERAL tag_ancestors(t.x) f").collect()
+    assert sorted(map(tuple, rows)) == [("b", "a"), ("c", "a"), ("c", "b")]
+
+
 def test_many_queries_at_once(spark, tmp_path):
     cards = ingest.editions(load(spark, tmp_path, [raw(id=f"p{i}", oracle_id=f"o{i % 7}", name=f"Card {i % 7}", cmc=float(i % 5), edhrec_rank=i % 7) for i in range(40)])).cache()
     asked = ["cmc>2", "cmc=1 or cmc=4", "nothing", "", "name:3"]
