@@ -3,8 +3,10 @@
 A fingerprint's 64 bits are cut into six blocks. Two fingerprints at three or fewer differing bits agree on at
 least three whole blocks, so each fingerprint is filed under all twenty choices of three blocks (31 to 33 bits
 each): every close pair shares a file, and files hold little else. Equal fingerprints are folded into one row
-first. Files of one row are dropped by a count; the members of the others meet in groups of bounded size (a
-large file is cut into chunks, and each pair of chunks is a group), where the Hamming distance is verified.
+first. Files of one row are dropped by a count. In a large file the bits outside its blocks are cut into four more, of which
+a close pair has one alike, so its members are filed again under each of these. The members of files meet in groups of
+bounded size (what is still large is cut into chunks, and each pair of chunks is a group), where the Hamming
+distance is verified.
 A group returns a spanning forest of its links, at most one row per member, never all pairs.
 Connected components of the forests give each document its class.
 
@@ -84,6 +86,13 @@ def masks() -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in chosen]
 
 
+def rest_masks(mask: int) -> list[int]:
+    """The bits outside a choice of blocks, in MAX_BITS + 1 parts, as signed longs."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    cut = [sum(1 << b for b in rest[i :: MAX_BITS + 1]) for i in range(MAX_BITS + 1)]
+    return [m - (1 << 64) if m >> 63 else m for m in cut]
+
+
 def forest(fp: np.ndarray, rep: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Links (smallest, other) of each linked set within one group."""
     order = np.argsort(rep, kind="stable")
@@ -109,26 +118,33 @@ def links(reps: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS, chunk: in
         "fp", "rep", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks())])).alias("f")
     ).select("f.c", "f.key", "fp", "rep")
     crowded = scratch.put(filed.groupBy("c", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "crowded")
-    members = filed.join(crowded, ["c", "key"]).withColumn("parts", F.ceil(F.col("n") / chunk).cast("int"))
+    members = filed.join(crowded, ["c", "key"]).select("c", "key", F.lit(0).alias("j"), F.lit(0).cast("long").alias("own"), "fp", "rep", "n")
+    if not crowded.filter(F.col("n") > chunk).isEmpty():
+        parts_of = F.array(*[F.array(*map(F.lit, rest_masks(m))) for m in masks()])
+        again = members.filter(F.col("n") > chunk).select("c", "key", F.posexplode(F.element_at(parts_of, F.col("c") + 1)).alias("j", "mask"), "fp", "rep")
+        again = again.select("c", "key", "j", F.col("fp").bitwiseAND(F.col("mask")).alias("own"), "fp", "rep")
+        still = scratch.put(again.groupBy("c", "key", "j", "own").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "still")
+        members = members.filter(F.col("n") <= chunk).unionByName(again.join(still, ["c", "key", "j", "own"]))
+    members = members.withColumn("parts", F.ceil(F.col("n") / chunk).cast("int"))
     mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("parts") - 1), F.array("mine")))
     met = members.withColumn("mine", mine).withColumn("other", F.explode(others))
-    met = met.select("c", "key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "fp", "rep")
-    sides = ["c", "key", "a", "b"]
+    sides = ["c", "key", "j", "own", "a", "b"]
+    met = met.withColumns({"a": F.least("mine", "other"), "b": F.greatest("mine", "other")}).select(*sides, "fp", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = [np.zeros(0, np.int64) for _ in range(6)]
+        carry = [np.zeros(0, np.int64) for _ in range(len(sides) + 2)]
 
         def close(cols: list[np.ndarray], last: bool) -> tuple[list[np.ndarray], pa.RecordBatch]:
             n = len(cols[0])
             change = np.zeros(n, bool)
-            for k in cols[:4]:
+            for k in cols[:-2]:
                 change[1:] |= k[1:] != k[:-1]
             starts = np.concatenate(([0], np.flatnonzero(change), [n]))
             if not last:
                 starts = starts[:-1]
             size, first = np.diff(starts), starts[:-1]
-            fp, rep = cols[4].view(np.uint64), cols[5]
+            fp, rep = cols[-2].view(np.uint64), cols[-1]
             two = first[size == 2]
             two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= max_bits]
             lo, hi = [np.minimum(rep[two], rep[two + 1])], [np.maximum(rep[two], rep[two + 1])]

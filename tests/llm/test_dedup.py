@@ -167,6 +167,25 @@ def test_masks_cover_every_choice_of_three_bits():
         assert any(flips & (m & (1 << 64) - 1) == 0 for m in simhash.masks())
 
 
+def test_large_files_are_filed_again(spark):
+    """Fingerprints that agree on three blocks and are unlike in the rest, with some pairs three bits apart."""
+    r = random.Random(5)
+    outside = [sum(1 << b for b in range(64) if m >> b & 1) for m in simhash.rest_masks(simhash.masks()[0] & (1 << 64) - 1)]
+    assert sum(outside) == (1 << 64) - 1 - (simhash.masks()[0] & (1 << 64) - 1) and len(outside) == 4
+    rest = [b for b in range(64) if sum(outside) >> b & 1]
+    fps = {sum(r.getrandbits(1) << b for b in rest) for _ in range(700)}
+    for at in r.sample(sorted(fps), 60):
+        for b in r.sample(range(64), 3):
+            at ^= 1 << b
+        fps.add(at)
+    reps = dict(enumerate(sorted(fps)))
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    df = spark.createDataFrame([(signed(f), i) for i, f in reps.items()], "fp long, rep long")
+    scratch = Scratch(spark, "test")
+    found = {x["node"]: x["component"] for x in components(simhash.links(df, scratch), scratch).collect()}
+    assert {i: found.get(i, i) for i in reps} == brute_classes(reps)
+
+
 def test_classes_and_survivors(spark):
     words = [f"w{i}" for i in range(400)]
     text = " ".join(words)
