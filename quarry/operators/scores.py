@@ -60,34 +60,34 @@ def prefer_scores(cards: DataFrame, weights: dict[str, float] | None = None) ->
     return scored.withColumn("prefer_score", total).drop("printings")
 
 
-def percent_ranks(rows: DataFrame, column: str, ascending: bool, name: str) -> DataFrame:
-    """column and its percent rank among all rows (nulls last), one row a value.
+def percent_ranks(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """by, order and rank: the percent rank of each value of `order` (ascending) among the rows of its `by`, one row a value.
 
     Equal values are folded first, so a hot one costs a row; the values are dealt out by ranges of the order and counts put one
     range behind the other, so no task sees them all."""
-    order = F.col(column).asc_nulls_last() if ascending else F.col(column).desc_nulls_last()
-    values = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n_"))
-    ranged = cut_lineage(values.repartitionByRange(order).withColumn("range_", F.spark_partition_id()))
-    sizes = ranged.groupBy("range_").agg(F.sum("n_").alias("n_"))
-    before = F.coalesce(F.sum("n_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
-    offsets = sizes.select(F.col("range_").alias("at_"), before.alias("before_"), F.sum("n_").over(Window.partitionBy()).alias("all_"))
-    inside = F.coalesce(F.sum("n_").over(Window.partitionBy("range_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = ranged.withColumn("inside_", inside).join(offsets, F.col("range_") == F.col("at_"))
-    return placed.select(column, ((F.col("before_") + F.col("inside_")) / F.greatest(F.col("all_") - 1, F.lit(1))).alias(name))
+    values = rows.groupBy(by, *order).agg(F.count(F.lit(1)).alias("n_"))
+    ranged = cut_lineage(values.repartitionByRange(by, *order).withColumn("range_", F.spark_partition_id()))
+    sizes = ranged.groupBy(by, "range_").agg(F.sum("n_").alias("n_"))  # a row a range
+    sums = lambda over: F.coalesce(F.sum("n_").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(by, "range_", sums(Window.partitionBy(by).orderBy("range_")).alias("before_"), F.sum("n_").over(Window.partitionBy(by)).alias("all_"))
+    placed = ranged.withColumn("inside_", sums(Window.partitionBy(by, "range_").orderBy(*order))).join(offsets, [by, "range_"])
+    return placed.select(by, *order, ((F.col("before_") + F.col("inside_")) / F.greatest(F.col("all_") - 1, F.lit(1))).alias("rank"))
 
 
 def popularity(cards: DataFrame, weights: dict[str, float] = POPULARITY) -> DataFrame:
     """card_name, cubecobra_score: percent ranks of a card's measures, weighted to 0 (best) to 100.
 
-    One row a name goes into the ranks (its first edition by id)."""
+    One row a name goes into the ranks (its first edition by id); all measures are ranked in one pass. Missing values come last."""
     first = F.min_by(F.struct(*weights), "printing_id").alias("first")
-    names = cut_lineage(cards.groupBy("card_name").agg(first).select("card_name", "first.*"))
-    total, ranked = sum(weights.values()), names
-    for i, column in enumerate(weights):
-        told = percent_ranks(names, column, column == "edhrec_rank", f"rank_{i}").withColumnRenamed(column, f"value_{i}")
-        ranked = ranked.join(told, ranked[column].eqNullSafe(told[f"value_{i}"])).drop(f"value_{i}")
+    names = cards.groupBy("card_name").agg(first).select("card_name", "first.*")
+    signed = [F.col(c).cast("double") * (1 if c == "edhrec_rank" else -1) for c in weights]
+    measures = F.array(*[F.struct(F.lit(i).alias("measure"), c.isNull().alias("absent"), F.coalesce(c, F.lit(0.0)).alias("value")) for i, c in enumerate(signed)])
+    long = cut_lineage(names.select("card_name", F.inline(measures)))
+    ranked = long.join(percent_ranks(long, "measure", ["absent", "value"]), ["measure", "absent", "value"])
+    own = ranked.groupBy("card_name").agg(*[F.max(F.when(F.col("measure") == i, F.col("rank"))).alias(f"rank_{i}") for i in range(len(weights))])
+    total = sum(weights.values())
     score = functools.reduce(operator.add, [F.col(f"rank_{i}") * (100 * w / total) for i, w in enumerate(weights.values())])
-    return ranked.select("card_name", score.alias("cubecobra_score"))
+    return own.select("card_name", score.alias("cubecobra_score"))
 
 
 def with_popularity(cards: DataFrame, weights: dict[str, float] = POPULARITY) -> DataFrame:
