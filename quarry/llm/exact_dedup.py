@@ -139,7 +139,7 @@ class ExtendibleIndex:
         hot = [r["h"] for r in keys.filter(F.col("n") > max(hot_rows, total // (4 * owners))).select("h").collect()]  # at most 4 an owner
         one = self.keyed.select("h", "text", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
         if hot:
-            is_hot = F.array_contains(literal(hot), F.col("h")) if len(hot) > 64 else F.col("h").isin(hot)
+            is_hot = F.col("h").isin(hot)
             folded = one.filter(is_hot).groupBy("h", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
             one = one.filter(~is_hot).unionByName(folded)
         sent = one.withColumn("bucket", self.bucket(F.col("h"))).withColumn("owner", F.element_at(literal(ranges or [0]), (F.col("bucket") + 1).cast("int")).cast("int"))
