@@ -114,9 +114,23 @@ def parsed(query: str):
     return read(query)
 
 
+@functools.lru_cache(maxsize=1_000)
+def condition(query: str, gaps: bool = False) -> Column:
+    """The column of a recent query. It names columns and is bound to no table, so any search can use it again."""
+    return compile_tree(parsed(query), gaps=gaps)
+
+
 def matching(cards: DataFrame, query: str, gaps: bool = False) -> DataFrame:
     """The editions that a query matches. gaps: words of a text value may stand apart, in their order."""
-    return cards.filter(compile_tree(parsed(query), gaps=gaps))
+    return cards.filter(condition(query, gaps))
+
+
+@functools.lru_cache
+def pick(unique: Unique, prefer: Prefer, within: tuple[str, ...] = ()) -> Column:
+    """An edition's place in its group."""
+    column, direction = PREFERENCES[prefer]
+    order = [nulls_last(F.col(column), direction), *([F.col("prefer_score").desc_nulls_last()] if column != "prefer_score" else []), F.col("printing_id")]
+    return F.row_number().over(Window.partitionBy(*within, *GROUPS[unique]).orderBy(*order))
 
 
 def one_each(rows: DataFrame, unique: Unique, prefer: Prefer, hashed: bool = False, within: tuple[str, ...] = ()) -> DataFrame:
@@ -125,20 +139,20 @@ def one_each(rows: DataFrame, unique: Unique, prefer: Prefer, hashed: bool = Fal
     hashed: by an aggregation instead of a window, which gives the same rows. within: columns that tell groups apart too."""
     if unique is Unique.PRINTING:
         return rows
-    column, direction = PREFERENCES[prefer]
     if hashed:
+        column, direction = PREFERENCES[prefer]
         # the same order as one comparable struct: false sorts before true, so nulls come last
         value = F.unix_date(column) if column == "released_at" else F.col(column).cast("double")
         signed = value if direction is Direction.ASC else -value
         best = F.struct(value.isNull(), signed, F.col("prefer_score").isNull(), -F.col("prefer_score"), F.col("printing_id"))
         return rows.groupBy(*within, *GROUPS[unique]).agg(F.min_by(F.struct(*rows.columns), best).alias("row_")).select("row_.*")
-    order = [nulls_last(F.col(column), direction), *([F.col("prefer_score").desc_nulls_last()] if column != "prefer_score" else []), F.col("printing_id")]
-    return rows.withColumn("pick_", F.row_number().over(Window.partitionBy(*within, *GROUPS[unique]).orderBy(*order))).filter("pick_ = 1").drop("pick_")
+    return rows.withColumn("pick_", pick(unique, prefer, within)).filter("pick_ = 1").drop("pick_")
 
 
-def sort_keys(orderby: OrderBy, direction: Direction) -> list[Column]:
+@functools.lru_cache
+def sort_keys(orderby: OrderBy, direction: Direction) -> tuple[Column, ...]:
     ties = [] if orderby is OrderBy.EDHREC else [F.col("edhrec_rank").asc_nulls_last()]
-    return [nulls_last(F.expr(SORTS[orderby]), direction), *ties, F.col("printing_id")]
+    return (nulls_last(F.expr(SORTS[orderby]), direction), *ties, F.col("printing_id"))
 
 
 def ordered(rows: DataFrame, orderby: OrderBy, direction: Direction) -> DataFrame:
@@ -152,12 +166,16 @@ def paged(rows: DataFrame, limit: int | None, offset: int) -> DataFrame:
     return rows if limit is None else rows.limit(limit)
 
 
-def shown(rows: DataFrame, fields: Iterable[str] | None) -> DataFrame:
-    names = list(dict.fromkeys(DEFAULT_FIELDS if fields is None else fields))
+@functools.lru_cache
+def field_columns(names: tuple[str, ...]) -> tuple[Column, ...]:
     known = RESULT_FIELDS | EXTRA_FIELDS
     if not names or (unknown := [n for n in names if n not in known]):
         raise QueryError("fields names no field" if not names else f"Unknown fields {unknown}")
-    return rows.select(*[F.col(known[n]).alias(n) for n in names])
+    return tuple(F.col(known[n]).alias(n) for n in names)
+
+
+def shown(rows: DataFrame, fields: Iterable[str] | None) -> DataFrame:
+    return rows.select(*field_columns(tuple(dict.fromkeys(DEFAULT_FIELDS if fields is None else fields))))
 
 
 def timed(run: Callable[[], Any]) -> tuple[Any, float]:
@@ -167,8 +185,9 @@ def timed(run: Callable[[], Any]) -> tuple[Any, float]:
 
 
 def held(cards: DataFrame) -> DataFrame:
-    """cards in memory, dealt out by card, so that picks and totals of cards and artworks need no shuffle."""
-    return cards.repartition("oracle_id").cache()
+    """cards in memory, dealt out by card and in order of preference, so that totals need no shuffle, nor do picks of cards and
+    artworks; picks of cards by default preference need no sort either."""
+    return cards.repartition("oracle_id").sortWithinPartitions("oracle_id", F.col("prefer_score").desc_nulls_last(), "printing_id").cache()
 
 
 @dataclass
@@ -177,12 +196,23 @@ class Found:
 
     page: DataFrame
     matches: DataFrame
-    groups: DataFrame
+    rows: DataFrame
+    unique: Unique
     query: str
-    explanation: str
-    compiled: str
     params: dict = field(default_factory=dict)
 
+    @functools.cached_property
+    def groups(self) -> DataFrame:
+        return self.rows if self.unique is Unique.PRINTING else self.rows.select(*GROUPS[self.unique]).distinct()
+
+    @functools.cached_property
+    def explanation(self) -> str:
+        return explain(parsed(self.query))
+
+    @functools.cached_property
+    def compiled(self) -> str:
+        return repr(condition(self.query)).removeprefix("Column<'").removesuffix("'>")
+
     def total(self) -> int:
         """How many matches there are; groups need no pick and no order, so they are counted."""
         return self.groups.count()
@@ -209,18 +239,17 @@ def search(cards: DataFrame, query: str = "", unique: str = Unique.CARD, prefer:
     """Cards that match a query. Raises QueryError for what can't be read or isn't offered."""
     unique, prefer, orderby, direction = choice(Unique, unique, "unique"), choice(Prefer, prefer, "prefer"), choice(OrderBy, orderby, "orderby"), choice(Direction, direction, "direction")
     rows = matching(cards, query)
-    kept, groups = one_each(rows, unique, prefer), rows if unique is Unique.PRINTING else rows.select(*GROUPS[unique]).distinct()
+    kept = one_each(rows, unique, prefer)
     page = shown(paged(ordered(kept, orderby, direction), limit, offset), fields)
     params = {"unique": unique, "prefer": prefer, "orderby": orderby, "direction": direction, "limit": limit, "offset": offset}
-    compiled = repr(compile_tree(parsed(query))).removeprefix("Column<'").removesuffix("'>")
-    return Found(page, kept, groups, query, explain(parsed(query)), compiled, {k: str(v) if isinstance(v, StrEnum) else v for k, v in params.items()})
+    return Found(page, kept, rows, unique, query, {k: str(v) if isinstance(v, StrEnum) else v for k, v in params.items()})
 
 
 def search_many(cards: DataFrame, queries: list[str], unique: str = Unique.CARD, prefer: str = Prefer.DEFAULT, orderby: str = OrderBy.EDHREC, direction: str = Direction.ASC, limit: int = DEFAULT_LIMIT, fields: Iterable[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Pages and totals of many queries, each from one scan: (query, position, fields) and (query, total_cards_count), by the query's place in
     the list. Every row is tested by all queries at once, so a scan's cost is shared."""
     unique, prefer, orderby, direction = choice(Unique, unique, "unique"), choice(Prefer, prefer, "prefer"), choice(OrderBy, orderby, "orderby"), choice(Direction, direction, "direction")
-    hits = F.array_compact(F.array(*[F.when(compile_tree(parsed(q)), F.lit(i)) for i, q in enumerate(queries)]))
+    hits = F.array_compact(F.array(*[F.when(condition(q), F.lit(i)) for i, q in enumerate(queries)]))
     rows = cards.select("*", F.explode(hits).alias("query"))
     kept = one_each(rows, unique, prefer, within=("query",))
     place = F.row_number().over(Window.partitionBy("query").orderBy(*sort_keys(orderby, direction)))
