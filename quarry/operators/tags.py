@@ -41,14 +41,16 @@ def walk(edge: DataFrame, up: bool = True) -> DataFrame:
 
 
 def walk_sql(edge: DataFrame, up: bool = True) -> DataFrame:
-    """walk() as one recursive common table expression, for hierarchies without cycles; raises beyond Spark's limit of levels."""
+    """walk() as one recursive common table expression, for hierarchies without cycles; raises beyond Spark's limit of levels.
+
+    LIMIT ALL lifts Spark's limit of rows (a million unless set), which counts pairs of all levels together."""
     a, b = ("child_tag", "parent_tag") if up else ("parent_tag", "child_tag")
     return edge.sparkSession.sql(
         f"""WITH RECURSIVE reached_(tag, reached) AS (
               SELECT {a}, {b} FROM {{edge}}
               UNION ALL
               SELECT r.tag, e.{b} FROM reached_ r JOIN {{edge}} e ON r.reached = e.{a})
-            SELECT DISTINCT tag, reached FROM reached_""",
+            SELECT DISTINCT tag, reached FROM (SELECT * FROM reached_ LIMIT ALL)""",
         edge=edge,
     )
 

@@ -168,6 +168,17 @@ def test_long_hierarchies_and_rings(spark):
     assert tags.walk(edge.limit(0)).count() == 0
 
 
+def test_recursion_has_no_limit_of_rows(spark):
+    edge = spark.createDataFrame([(i, i + 1) for i in range(30)], "child_tag long, parent_tag long")
+    name = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "20")
+    try:
+        assert sorted(map(tuple, tags.walk_sql(edge).collect())) == [(a, b) for a in range(30) for b in range(a + 1, 31)]
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_table_functions(spark):
     stored.register(spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "b")], "child_tag string, parent_tag string"))
     said = lambda call: sorted(x[0] for x in spark.sql(f"SELECT * FROM {call}").collect())
