@@ -4,6 +4,7 @@ import datetime
 import gzip
 import json
 import math
+import random
 
 import pytest
 from pyspark.errors import PySparkException
@@ -168,6 +169,48 @@ def test_long_hierarchies_and_rings(spark):
     assert tags.walk(edge.limit(0)).count() == 0
 
 
+def brute_cycles(pairs):
+    """tag -> all tags of its cycle's component."""
+    onward, reach = {}, {}
+    for a, b in pairs:
+        onward.setdefault(a, set()).add(b)
+    for start in onward:
+        queue, seen = [start], set()
+        while queue:
+            for b in onward.get(queue.pop(), set()) - seen:
+                seen.add(b)
+                queue.append(b)
+        reach[start] = seen
+    return {a: frozenset(b for b in reach[a] if a in reach.get(b, ())) for a in reach if a in reach[a]}
+
+
+def ringed(found):
+    of = {}
+    for x in found:
+        of.setdefault(x["ring"], []).append(x["tag"])
+    assert all(len(x) == len(set(x)) for x in of.values())
+    return {t: frozenset(x) for x in of.values() for t in x}
+
+
+@pytest.mark.parametrize("in_one_task", [0, 10_000])
+def test_rings_against_brute_force(spark, in_one_task):
+    """Trees, chains, rings, ears on rings, tags of one's own and random graphs side by side, as one table."""
+    r = random.Random(5)
+    pairs = [(i, i // 2) for i in range(1, 40)] + [(0, 5)] + [(100 + i, 100 + (i + 1) % 17) for i in range(17)] + [(103, 300), (300, 301), (301, 110), (301, 302), (302, 303)]
+    pairs += [(400, 401), (401, 402), (402, 400), (400, 403), (403, 404), (404, 400), (402, 405), (405, 406), (500, 500), (501, 500), (39, 39), (300, 300), (600, 601), (601, 600)]
+    for k, (n, m) in enumerate([(12, 14), (12, 20), (25, 40), (30, 34), (9, 40)]):
+        pairs += [(1000 * (k + 1) + r.randrange(n), 1000 * (k + 1) + r.randrange(n)) for _ in range(m)]
+    edge = spark.createDataFrame([*pairs, *pairs[:5], (None, 3), (3, None), (None, None)], "child_tag long, parent_tag long")
+    assert ringed(tags.rings(edge, in_one_task).collect()) == brute_cycles(pairs)
+
+
+def test_long_rings_without_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(tags, "walk", None)
+    edge = spark.range(50_000).selectExpr("concat('t', id) AS child_tag", "concat('t', (id + 1) % 50000) AS parent_tag")
+    assert tags.cycles(edge).distinct().count() == tags.cycles(edge).count() == 50_000
+    assert tags.cycles(edge.filter("child_tag <> 't7'")).count() == tags.cycles(edge.limit(0)).count() == 0
+
+
 def test_recursion_has_no_limit_of_rows(spark):
     edge = spark.createDataFrame([(i, i + 1) for i in range(30)], "child_tag long, parent_tag long")
     name = "spark.sql.cteRecursionRowLimit"
