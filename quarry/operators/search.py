@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import random
 import time
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
@@ -276,9 +277,24 @@ def browse(cards: DataFrame, after: str | None = None, before: str | None = None
     return cards.orderBy("card_name", "printing_id").limit(limit)
 
 
+SAMPLE_AT_ONCE = 1000  # rows that a sort with a limit may bring into one task
+
+
 def random_sample(cards: DataFrame, n: int, seed: int | None = None) -> DataFrame:
-    """n distinct cards, each by its preferred edition."""
-    if not 1 <= n <= 1000:
-        raise QueryError("a sample has 1 to 1000 cards")
-    draw = F.rand() if seed is None else F.xxhash64(F.lit(seed), "oracle_id")
-    return one_each(cards, Unique.CARD, Prefer.DEFAULT).orderBy(draw, "oracle_id").limit(n)
+    """n distinct cards, each by its preferred edition; all, if there are no more.
+
+    A large sample is cut where counts of the draw's leading bits reach n, so that only the cards of one such bucket are sorted."""
+    if n < 1:
+        raise QueryError("a sample has at least one card")
+    kept = one_each(cards, Unique.CARD, Prefer.DEFAULT)
+    if n <= SAMPLE_AT_ONCE:
+        draw = F.rand() if seed is None else F.xxhash64(F.lit(seed), "oracle_id")
+        return kept.orderBy(draw, "oracle_id").limit(n)
+    # two parts have to see the same draw, so it is always by a seed
+    draw = F.xxhash64(F.lit(random.getrandbits(31) if seed is None else seed), "oracle_id")
+    bucket, before = F.shiftright(draw, 48), 0
+    for at, many in sorted(cards.select("oracle_id").distinct().groupBy(bucket.alias("bucket")).count().collect()):
+        if before + many > n:
+            return kept.filter(bucket < at).unionByName(kept.filter(bucket == at).orderBy(draw, "oracle_id").limit(n - before))
+        before += many
+    return kept

@@ -361,6 +361,13 @@ def test_catalogues(spark):
     assert {x["printing_id"] for x in random_sample(cards, 2, seed=1).collect()} == {"p2", "p3"}
     with pytest.raises(QueryError):
         random_sample(cards, 0)
+    rows = spark.range(9000).selectExpr("id DIV 3 AS oracle_id", "concat('p', id) AS printing_id", "CAST(id % 3 AS DOUBLE) AS prefer_score")
+    everything = {(k, f"p{3 * k + 2}") for k in range(3000)}
+    assert {(x["oracle_id"], x["printing_id"]) for x in random_sample(rows, 5000, seed=7).collect()} == everything
+    by_draw = [(x["oracle_id"], x["printing_id"]) for x in rows.filter("prefer_score = 2").orderBy(F.xxhash64(F.lit(7), "oracle_id")).collect()]
+    for n in (1001, 2500, 2999, 3000):
+        assert sorted((x["oracle_id"], x["printing_id"]) for x in random_sample(rows, n, seed=7).collect()) == sorted(by_draw[:n])
+    assert random_sample(rows, 1500).distinct().count() == 1500
     names = spark.createDataFrame([(c, c) for c in "dabc"], "card_name string, printing_id string")
     assert [x["card_name"] for x in browse(names, "a", "d").collect()] == ["b", "c"]
     words = spark.createDataFrame([("Some words, some more words",), ("words",)], "t string")
