@@ -6,8 +6,8 @@ Parquet and read again for the next. All but the last return the columns of docu
 1 language ID: documents whose language is rejected, or that have no letters, go. The models are learned from the labelled
   documents of this stage's input.
 2 exact dedup: of equal texts, the row with the largest doc_id stays.
-3 near-dedup: of documents linked by five-word shingles at Jaccard similarity 0.8 or more, the one with the smallest doc_id
-  stays (SimHash at three bits, as in op8, would leave most of them).
+3 near-dedup: SimHash fingerprints of five-word shingles in pigeonhole blocks, with bands of min-hashes for pairs that blocks don't
+  reach; of documents that then are at exact Jaccard similarity 0.8 or more, the one with the smallest doc_id stays.
 4 mixing to target weights: every document stays; rows are dealt into the order of the mix and written in it.
 5 byte-level BPE: ids, their number and digests of ids and decoded bytes, with the row's place in the mix (mix_slot, mix_place): files
   don't keep an order, and the place follows from the rows alone.

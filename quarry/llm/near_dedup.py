@@ -1,14 +1,15 @@
-"""Near-dedup on sets of five-word shingles: documents of Jaccard similarity 0.8 or more are linked.
+"""Near-dedup by SimHash on five-word shingles, at Jaccard similarity 0.8 or more.
 
-At that similarity a 64-bit SimHash differs by about ten bits, too many for pigeonhole blocks. So each set gets HASHES
-min-hashes in BANDS bands of ROWS, and sets that agree on a whole band share a file. Files of one row are dropped by a count;
-in the others the share of equal min-hashes (a byte of each) gives candidates, down to LOOSE. The components of the candidates
-are clusters, and within each the similarity is computed exactly from the sets: only pairs that reach it are linked, and the
-components of the links are the classes. Groups of both steps have bounded size (a large file or cluster is cut into chunks,
-and each pair of chunks is a group) and return spanning forests, never all pairs.
+Each set of shingles gets FINGERPRINTS independent 64-bit SimHash fingerprints, each filed by the pigeonhole blocks of simhash.py;
+what shares a file within WITHIN bits is a candidate. At 0.8 two fingerprints differ by about ten bits, where blocks find some pairs
+only, so candidates come from a second filing too: HASHES min-hashes in BANDS bands of ROWS; sets that agree on a whole band share a
+file. Files of one row are dropped by a count; in the others the share of equal min-hashes (a byte of each) gives candidates, down to
+LOOSE. The components of all candidates are clusters, and within each the similarity is computed exactly from the sets: only pairs
+that reach it are linked, and the components of the links are the classes. Groups have bounded size (a large file or cluster is cut
+into chunks, and each pair of chunks is a group) and return spanning forests, never all pairs.
 
-What can be lost is a pair that no band joins, or that looks looser than LOOSE: at similarity 0.8 together about one in
-30,000, above it fewer. Sets are of 64-bit hashes of the shingles.
+What can be lost is a pair that neither finds: for the bands alone, at similarity 0.8, about one in 30,000, above it fewer. Sets are
+of 64-bit hashes of the shingles.
 
 Defined results: a text of one to four words is one shingle; null and wordless texts have an empty set and share a class;
 a null doc_id links nothing; rows that repeat a doc_id share a class; an empty table gives an empty result.
@@ -16,6 +17,7 @@ a null doc_id links nothing; rows that repeat a doc_id share a class; an empty t
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,14 +28,16 @@ from pyspark.sql import functions as F
 
 from quarry.llm.components import components
 from quarry.llm.scratch import Scratch, small_batches
-from quarry.llm.simhash import PIECE, word_runs
+from quarry.llm.simhash import PIECE, links, word_runs
 
 WORDS = 5
 BANDS, ROWS = 20, 4
 HASHES = BANDS * ROWS
+FINGERPRINTS, WITHIN = 4, 10
 LOOSE = 0.6  # share of equal min-hashes; 4.5 standard deviations below 0.8
 CHUNK, CHUNK_SHINGLES = 512, 1 << 20
 _DRAWN = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 64, 2 * HASHES + ROWS, np.uint64)
+SALTS = np.random.Generator(np.random.PCG64(6)).integers(0, 1 << 64, FINGERPRINTS, np.uint64)
 TIMES, PLUS, MIX = _DRAWN[:HASHES, None] | np.uint64(1), _DRAWN[HASHES : 2 * HASHES, None], _DRAWN[2 * HASHES :] | np.uint64(1)
 
 
@@ -60,25 +64,46 @@ def min_hashes(values: np.ndarray) -> np.ndarray:
     return least
 
 
+def salted(values: np.ndarray, salt: int) -> np.ndarray:
+    """Other hashes of the same shingles: splitmix64's finalizer."""
+    x = values ^ salt
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints(values: np.ndarray) -> np.ndarray:
+    """Majority bits of a set's hashes, under each salt."""
+    out = np.zeros(FINGERPRINTS, np.uint64)
+    for t, salt in enumerate(SALTS):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(values), 1 << 16):
+            part = salted(values[at : at + (1 << 16)], salt)
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[t] = np.packbits(ones * 2 > len(values), bitorder="little").view(np.uint64)[0]
+    return out
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the set, its size, a key of each band (none for an empty set) and a byte of each min-hash."""
+    """doc_id, digest of the set, its size, fingerprints and a key of each band (none for an empty set), a byte of each min-hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, sizes, keys, bytes_ = [], [], [], []
+            digests, sizes, fps, keys, bytes_ = [], [], [], [], []
             for x in b.column(1):
                 values = shingles(x.as_py() or b"")
                 least = min_hashes(values)
                 digests.append(xxhash.xxh64_intdigest(values.tobytes(), 42))
                 sizes.append(len(values))
+                fps.append(fingerprints(values).view(np.int64) if len(values) else [])
                 keys.append((least.reshape(BANDS, ROWS) * MIX).sum(axis=1, dtype=np.uint64).view(np.int64) if len(values) else [])
                 bytes_.append((least >> np.uint64(8)).astype(np.uint8).tobytes())
-            told = [pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *told], ["doc_id", "digest", "size", "keys", "sig"])
+            told = [pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *told], ["doc_id", "digest", "size", "fps", "keys", "sig"])
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, digest long, size long, keys array<long>, sig binary")
+    return rows.mapInArrow(run, "doc_id long, digest long, size long, fps array<long>, keys array<long>, sig binary")
 
 
 def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
@@ -166,7 +191,18 @@ def sets_of(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.select(*keep, F.col("text").cast("binary").alias("text")).mapInArrow(run, f"{kinds}`set` array<long>")
 
 
-def candidates(reps: DataFrame, scratch: Scratch, chunk: int = CHUNK) -> DataFrame:
+def by_fingerprints(reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """Forest links (lo, hi) between reps of which a fingerprint's blocks agree within WITHIN bits; reps: rep, fps."""
+    found = []
+    for t in range(FINGERPRINTS):
+        own = reps.filter(F.size("fps") > 0).select(F.element_at("fps", t + 1).alias("fp"), "rep")
+        folded = scratch.put(own.groupBy("fp").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")), "folded")
+        equal = own.join(folded.filter("n > 1"), "fp").filter("rep <> first").select(F.col("first").alias("lo"), F.col("rep").alias("hi"))
+        found.append(scratch.put(links(folded.select("fp", F.col("first").alias("rep")), scratch, within=WITHIN).unionByName(equal), "linked"))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def by_bands(reps: DataFrame, scratch: Scratch, chunk: int = CHUNK) -> DataFrame:
     """Forest links (lo, hi) between reps that share a band and look alike; reps: rep, keys, sig."""
     filed = reps.select("rep", F.posexplode("keys").alias("c", "key"))
     crowded = scratch.put(filed.groupBy("c", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "crowded")
@@ -174,12 +210,17 @@ def candidates(reps: DataFrame, scratch: Scratch, chunk: int = CHUNK) -> DataFra
     return grouped(members, ["c", "key"], F.ceil(F.col("n") / chunk), "sig", alike)
 
 
+def candidates(reps: DataFrame, scratch: Scratch, chunk: int = CHUNK) -> DataFrame:
+    """Links (lo, hi) of both filings."""
+    return by_fingerprints(reps, scratch).unionByName(by_bands(reps, scratch, chunk))
+
+
 def classes(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """doc_id and component_id (smallest doc_id reachable) of each document that has a doc_id."""
     scratch = Scratch(docs.sparkSession, "near-dedup")
     small_batches(docs.sparkSession)
     prints = scratch.put(signatures(docs.filter("doc_id IS NOT NULL")), "prints")
-    folded = prints.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    folded = prints.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("fps").alias("fps"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     reps = scratch.put(folded, "reps")
     clusters = scratch.put(components(scratch.put(candidates(reps, scratch, chunk), "candidates"), scratch), "clusters")
     sized = clusters.join(reps.select(F.col("rep").alias("node"), "size"), "node")
@@ -187,8 +228,8 @@ def classes(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     chosen = clusters.join(sized, "component").select("component", "many", F.col("node").alias("rep"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(chosen, "rep")
     members = sets_of(texts, ["component", "many"])
-    links = scratch.put(grouped(members, ["component", "many"], F.col("many"), "set", similar), "links")
-    found = components(links, scratch)
+    alike_ = scratch.put(grouped(members, ["component", "many"], F.col("many"), "set", similar), "links")
+    found = components(alike_, scratch)
     named = reps.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return prints.select("doc_id", "digest").join(scratch.put(named, "named"), "digest").select("doc_id", "component_id")
 

@@ -110,8 +110,11 @@ def forest(fp: np.ndarray, rep: np.ndarray, max_bits: int) -> list[tuple[int, in
     return out
 
 
-def links(reps: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS, chunk: int = CHUNK) -> DataFrame:
-    """Forest links (lo, hi) between the reps of fingerprints at max_bits or fewer; reps: fp, rep."""
+def links(reps: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS, chunk: int = CHUNK, within: int | None = None) -> DataFrame:
+    """Forest links (lo, hi) between the reps of fingerprints at max_bits or fewer; reps: fp, rep.
+
+    within: what meets is linked up to so many bits, more than max_bits; beyond max_bits only such pairs are found as share a file."""
+    bits = max(max_bits, within or 0)
     if max_bits > len(BLOCKS) - AGREE:
         raise ValueError(f"{len(BLOCKS)} blocks of which {AGREE} agree find pairs up to {len(BLOCKS) - AGREE} bits")
     filed = reps.filter("rep IS NOT NULL").select(
@@ -146,9 +149,9 @@ def links(reps: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS, chunk: in
             size, first = np.diff(starts), starts[:-1]
             fp, rep = cols[-2].view(np.uint64), cols[-1]
             two = first[size == 2]
-            two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= max_bits]
+            two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= bits]
             lo, hi = [np.minimum(rep[two], rep[two + 1])], [np.maximum(rep[two], rep[two + 1])]
-            more = [e for s, k in zip(first[size > 2], size[size > 2]) for e in forest(fp[s : s + k], rep[s : s + k], max_bits)]
+            more = [e for s, k in zip(first[size > 2], size[size > 2]) for e in forest(fp[s : s + k], rep[s : s + k], bits)]
             if more:
                 pairs = np.array(more, np.int64)
                 lo.append(pairs[:, 0])

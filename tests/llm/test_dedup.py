@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarry.llm import exact_dedup, near_dedup, simhash, suffix_dedup
@@ -238,6 +239,33 @@ def test_near_copies_from_80_to_95_percent(spark, chunk):
         assert kept == {i for i in label if label[i] == i} | {None}
 
 
+def test_fingerprints_of_sets():
+    r = random.Random(3)
+    for n in (1, 2, 7, 400):
+        values = np.array(sorted({r.getrandbits(64) for _ in range(n)}), np.uint64)
+        for salt, got in zip(near_dedup.SALTS, near_dedup.fingerprints(values)):
+            hashes = [int(x) for x in near_dedup.salted(values, salt)]
+            assert int(got) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@pytest.mark.parametrize("filing", ["by_bands", "by_fingerprints"])
+def test_near_copies_by_one_filing_alone(spark, monkeypatch, filing):
+    """Either filing finds copies of one edited word without the other, and the exact check keeps out what isn't close."""
+    other = {"by_bands": "by_fingerprints", "by_fingerprints": "by_bands"}[filing]
+    monkeypatch.setattr(near_dedup, other, lambda reps, *_: reps.limit(0).select(F.col("rep").alias("lo"), F.col("rep").alias("hi")))
+    r, rows = random.Random(9), []
+    for i in range(40):
+        w = [f"w{r.randrange(5000)}" for _ in range(400)]
+        rows.append((10 * i, " ".join(w)))
+        for k, edits in enumerate((1, 1, 90), 1):
+            v = list(w)
+            for at in r.sample(range(400), edits):
+                v[at] = f"new{r.randrange(10**9)}"
+            rows.append((10 * i + k, " ".join(v)))
+    kept = {x["doc_id"] for x in corpus_pipeline.drop_near_copies(spark, table(spark, rows), "").collect()}
+    assert kept == {i for i, _ in rows if i % 10 in (0, 3)}
+
+
 def test_components_on_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(129, 200), (5, 5)]
     df = spark.createDataFrame(edges, "lo long, hi long")
