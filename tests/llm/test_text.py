@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -350,6 +351,37 @@ def test_repeated_notices(spark):
             assert licenses.TEMPLATES[n][0] in labels and found[i, n] == k and (got[i]["score"] == 1 or not whole)
 
 
+def by_pattern(text):
+    """Words by the contract's pattern as it stands."""
+    return queries.F.regexp_extract_all(queries.F.lower(text), queries.F.lit(licenses.WORD), queries.F.lit(0))
+
+
+def test_license_words_of_every_character(spark):
+    codes = [c for c in range(0x2100) if not 0xD800 <= c < 0xE000] + [0x212A, 0x2028, 0x3000, 0xFEFF, 0xFFFD, 0xFFFF, 0x10000, 0x1F600, 0x10FFFF]
+    rows = [(c, f"{chr(c)}Ab{chr(c)}{chr(c)}9é{chr(c)}", None) for c in codes]
+    text = queries.F.col("text")
+    got = table(spark, rows).select("doc_id", licenses.words(text).alias("own"), by_pattern(text).alias("pattern")).collect()
+    assert len(got) == len(rows) and all(x["own"] == x["pattern"] for x in got)
+    texts = {i: t for i, t, _ in rows}
+    assert all(x["own"] == brute_words(texts[x["doc_id"]]) for x in got if x["doc_id"] < 128)
+
+
+def test_license_words_cost_a_part_of_the_pattern(spark):
+    """Splitting texts is nearly all of the scan's time; by the pattern as it stands it took about four times as long here."""
+    text = queries.F.col("text")
+    docs = spark.range(64, numPartitions=4).select(queries.F.repeat(queries.F.concat(queries.F.lit("Plain words, écrits in LINES of "), queries.F.col("id"), queries.F.lit(" prose\n")), 4000).alias("text")).cache()
+
+    def seconds(words):
+        began = time.perf_counter()
+        assert docs.select(queries.F.sum(queries.F.size(words(text)))).first()[0] == 64 * 4000 * 8
+        return time.perf_counter() - began
+
+    assert docs.count() == 64
+    own, pattern = zip(*[(seconds(licenses.words), seconds(by_pattern)) for _ in range(3)])
+    assert min(own) < 0.6 * min(pattern)
+    docs.unpersist()
+
+
 def test_own_templates(spark):
     docs = table(spark, [(1, "a b c d e f", None), (2, None, None)]).select("doc_id", licenses.words(queries.F.col("text")).alias("words"))
     assert [(x["doc_id"], x["label"], x["first"], x["last"]) for x in licenses.spans(docs, ["doc_id"], [("own", "b c d e")]).collect()] == [(1, "own", 1, 4)]
